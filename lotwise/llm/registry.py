@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing
 
-QUERIES: dict = {"op8_exact_dedup": exact_dedup.op8_exact_dedup}
-ORACLES: dict = {"op8_exact_dedup": exact_dedup.OP8_SQL}
+QUERIES: dict = {"op1_mix_sources": mixing.op1_mix_sources, "op8_exact_dedup": exact_dedup.op8_exact_dedup}
+ORACLES: dict = {"op1_mix_sources": mixing.OP1_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
