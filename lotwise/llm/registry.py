@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import chat_format, exact_dedup, mixing, url_filter, warc
 
-QUERIES: dict = {"op1_mix_sources": mixing.op1_mix_sources, "op8_exact_dedup": exact_dedup.op8_exact_dedup}
-ORACLES: dict = {"op1_mix_sources": mixing.OP1_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+QUERIES: dict = {
+    "op1_mix_sources": mixing.op1_mix_sources,
+    "op4_warc": warc.op4_warc,
+    "op6_url_filter": url_filter.op6_url_filter,
+    "op7_chat_format": chat_format.op7_chat_format,
+    "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+}
+ORACLES: dict = {
+    "op1_mix_sources": mixing.OP1_SQL,
+    "op4_warc": warc.OP4_SQL,
+    "op7_chat_format": chat_format.OP7_SQL,
+    "op8_exact_dedup": exact_dedup.OP8_SQL,
+}
