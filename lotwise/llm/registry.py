@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, mixing, url_filter, warc
+from . import chat_format, exact_dedup, langid, mixing, sentencepiece_sampling, url_filter, warc
 
 QUERIES: dict = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op3_language_id": langid.op3_language_id,
     "op4_warc": warc.op4_warc,
+    "op5_sentencepiece": sentencepiece_sampling.op5_sentencepiece,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_chat_format": chat_format.op7_chat_format,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
