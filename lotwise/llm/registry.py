@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, langid, mixing, sentencepiece_sampling, url_filter, warc
+from . import chat_format, embedding_dedup, exact_dedup, langid, mixing, sentencepiece_sampling, url_filter, warc
 
 QUERIES: dict = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
     "op3_language_id": langid.op3_language_id,
     "op4_warc": warc.op4_warc,
     "op5_sentencepiece": sentencepiece_sampling.op5_sentencepiece,
@@ -15,6 +16,7 @@ QUERIES: dict = {
 }
 ORACLES: dict = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op2_embedding_dedup": embedding_dedup.OP2_SQL,
     "op4_warc": warc.OP4_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
