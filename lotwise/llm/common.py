@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,55 @@ def narrow_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+#: 64-bit words of a Bloom filter: a fixed 1 MiB, whatever the table holds. A full filter lets all rows pass.
+FILTER_WORDS = 1 << 17
+
+
+def bloom_word(key: Column) -> tuple[Column, Column]:
+    """Place and bit mask of a key in a blocked Bloom filter: three bits of one 64-bit word."""
+    h = F.xxhash64(key)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, k), F.lit(64)).cast("int"))
+    return F.pmod(h, F.lit(FILTER_WORDS)), bit(20).bitwiseOR(bit(33)).bitwiseOR(bit(46))
+
+
+def bloom(keys: DataFrame, key: Column) -> DataFrame:
+    """Blocked Bloom filter over the keys: at most FILTER_WORDS rows of (word, bits)."""
+    word, mask = bloom_word(key)
+    return keys.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
+
+
+def only(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in ``ids`` (column id). A bounded filter is broadcast first, so that most others stay out of the shuffle."""
+    word, mask = bloom_word(F.col(id_col).cast("long"))
+    seen = F.broadcast(bloom(ids, F.col("id")).withColumnsRenamed({"word": "_w", "bits": "_bits"}))  # bounded: see bloom
+    near = rows.withColumns({"_word": word, "_mask": mask}).join(seen, F.col("_word") == F.col("_w")).where(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask")).select(rows.columns)
+    return near.join(ids.select(F.col("id").alias("_id")).distinct(), near[id_col].cast("long") == F.col("_id"), "left_semi")
+
+
+def forest(u: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """For n nodes and links u-w the smallest node of each one's component."""
+    root = np.arange(n)
+    while len(u):
+        low = np.minimum(root[u], root[w])
+        new = root.copy()
+        for at in (u, w, root[u], root[w]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
+def spans(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``most`` bytes together; a longer text stands alone."""
+    i, n = 0, len(off) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1))
+        yield i, j
+        i = j
+
+
 def chunk(arr: pa.Array | pa.ChunkedArray) -> pa.Array:
     return arr.combine_chunks() if isinstance(arr, pa.ChunkedArray) else arr
 
@@ -166,10 +215,10 @@ def shingles(data: np.ndarray, off: np.ndarray, k: int = 5) -> list[np.ndarray]:
         if c >= k:
             out.append(np.unique(g[a : a + c - k + 1]))
         elif c:
-            x = U64(c)
+            x = np.array([c], np.uint64)
             for w in h[a : a + c]:
                 x = x * U64(0xA0761D6478BD642F) + w
-            out.append(mix(np.array([x])))
+            out.append(mix(x))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

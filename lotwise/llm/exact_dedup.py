@@ -8,12 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bloom, bloom_word, written
 
 #: Rows of a memtable; when it is full it is flushed as a sorted run.
 MEMTABLE_ROWS = 200_000
-#: 64-bit words of the filter over repeated digests: a fixed 1 MiB, whatever the corpus holds.
-FILTER_WORDS = 1 << 17
 RUN = "run long, digest binary, keep_id long, n long"
 
 
@@ -80,18 +78,9 @@ def compact(runs: DataFrame) -> DataFrame:
     return merged.select("digest", "keep_id", "n").mapInArrow(merge, "digest binary, keep_id long, n long")
 
 
-def _word(digest: Column) -> tuple[Column, Column]:
-    """Place and bit mask of a digest in a blocked Bloom filter: three bits of one 64-bit word."""
-    h = F.xxhash64(digest)
-    word = F.pmod(h, F.lit(FILTER_WORDS))
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, k), F.lit(64)).cast("int"))
-    return word, bit(20).bitwiseOR(bit(33)).bitwiseOR(bit(46))
-
-
 def repeated_filter(index: DataFrame) -> DataFrame:
-    """Filter over the digests of more than one row: at most FILTER_WORDS rows of (word, bits)."""
-    word, mask = _word(F.col("digest"))
-    return index.where("n > 1").groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
+    """Filter over the digests of more than one row; its size is fixed, whatever the corpus holds."""
+    return bloom(index.where("n > 1"), F.col("digest"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
@@ -111,8 +100,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = written(flush_runs(docs.select(key.alias("digest"), F.col(id_col).alias("id")), memtable_rows), "runs")
     index = written(compact(runs), "index")
     hits = index.where("n > 1").select(F.col("digest").alias("_hit"), F.col("keep_id").alias("_low"), F.col("n").alias("_n"))
-    seen = F.broadcast(repeated_filter(index))  # at most FILTER_WORDS rows
-    word, mask = _word(F.col("_key"))
+    seen = F.broadcast(repeated_filter(index))  # bounded: see bloom
+    word, mask = bloom_word(F.col("_key"))
     rows = docs.select(names).withColumn("_text", text).withColumn("_digest", F.unhex(F.sha2("_text", 256)))
     rows = rows.withColumn("_key", F.col("_digest") if digest_bits >= 256 else F.substring("_digest", 1, max(1, digest_bits // 8)))
     rows = rows.withColumns({"_word": word, "_mask": mask}).join(seen.withColumnsRenamed({"word": "_w", "bits": "_bits"}), F.col("_word") == F.col("_w"), "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, exact_dedup, langid, mixing, sentencepiece_sampling, url_filter, warc
+from . import chat_format, embedding_dedup, exact_dedup, langid, mixing, ngram_join, sentencepiece_sampling, url_filter, warc
 
 QUERIES: dict = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -13,6 +13,7 @@ QUERIES: dict = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_chat_format": chat_format.op7_chat_format,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
 }
 ORACLES: dict = {
     "op1_mix_sources": mixing.OP1_SQL,
@@ -20,4 +21,5 @@ ORACLES: dict = {
     "op4_warc": warc.OP4_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op9_ngram_join": ngram_join.OP9_SQL,
 }
