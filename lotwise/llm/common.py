@@ -96,7 +96,18 @@ def only(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     word, mask = bloom_word(F.col(id_col).cast("long"))
     seen = F.broadcast(bloom(ids, F.col("id")).withColumnsRenamed({"word": "_w", "bits": "_bits"}))  # bounded: see bloom
     near = rows.withColumns({"_word": word, "_mask": mask}).join(seen, F.col("_word") == F.col("_w")).where(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask")).select(rows.columns)
-    return near.join(ids.select(F.col("id").alias("_id")).distinct(), near[id_col].cast("long") == F.col("_id"), "left_semi")
+    return near.join(ids.select(F.col("id").alias("_id")).distinct(), near[id_col].cast("long").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def without(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is not in ``ids`` (column id). Rows that the bounded filter clears are not shuffled."""
+    word, mask = bloom_word(F.col(id_col).cast("long"))
+    seen = F.broadcast(bloom(ids, F.col("id")).withColumnsRenamed({"word": "_w", "bits": "_bits"}))  # bounded: see bloom
+    told = rows.withColumns({"_word": word, "_mask": mask}).join(seen, F.col("_word") == F.col("_w"), "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
+    held = told.where(maybe).select(rows.columns)
+    held = held.join(ids.select(F.col("id").alias("_id")).distinct(), held[id_col].cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    return told.where(~maybe).select(rows.columns).unionByName(held)
 
 
 def forest(u: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:

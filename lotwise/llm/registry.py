@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, exact_dedup, langid, mixing, ngram_join, sentencepiece_sampling, url_filter, warc
+from . import chat_format, embedding_dedup, exact_dedup, langid, mixing, ngram_join, repeat_removal, sentencepiece_sampling, url_filter, warc
 
 QUERIES: dict = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -14,6 +14,7 @@ QUERIES: dict = {
     "op7_chat_format": chat_format.op7_chat_format,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_ngram_join": ngram_join.op9_ngram_join,
+    "op10_repeat_removal": repeat_removal.op10_repeat_removal,
 }
 ORACLES: dict = {
     "op1_mix_sources": mixing.OP1_SQL,
