@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -252,8 +253,9 @@ def _parts(off: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL_PATH, theta: float = THETA, seed: int = SEED) -> DataFrame:
-    """id and pieces (array<int>) of each row: a segmentation sampled with the row's id as seed.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL_PATH, theta: float = THETA, seed: int = SEED, digest: bool = False) -> DataFrame:
+    """id and pieces (array<int>) of each row: a segmentation sampled with the row's id as seed. With ``digest`` also
+    text_sha256, the SHA-256 (hex) of the text that the pieces decode to, in the same pass.
 
     The same id, text, seed and model always give the same pieces, whatever the partitions. Null text gives null,
     empty text an empty array. Repeated rows get the same result; a null id is a key like any other. Other columns
@@ -271,37 +273,37 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 null = np.asarray(b.column(1).slice(i, j - i).is_null())
                 cut = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 rows = pa.ListArray.from_arrays(pa.array(cut), pa.array(ids, pa.int32()), mask=pa.array(null) if null.any() else None)
-                yield pa.RecordBatch.from_arrays([keys, rows], names=["id", "pieces"])
+                if not digest:
+                    yield pa.RecordBatch.from_arrays([keys, rows], names=["id", "pieces"])
+                    continue
+                out, to = detokenise(v, ids.astype(np.int64), n)
+                raw = out.tobytes()
+                sha = [None if x else hashlib.sha256(raw[a:e]).hexdigest() for x, a, e in zip(null.tolist(), to[:-1].tolist(), to[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([keys, rows, pa.array(sha, pa.string())], names=["id", "pieces", "text_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, pieces array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, pieces array<int>, text_sha256 string" if digest else "id long, pieces array<int>").withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces", path: str = MODEL_PATH, digest: bool = False) -> DataFrame:
-    """id and text of each row of pieces, or with ``digest`` its SHA-256 (hex) and the pieces; null pieces give null."""
+def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces", path: str = MODEL_PATH) -> DataFrame:
+    """id and text of each row of pieces; null pieces give null."""
     narrow_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(path)
         for b in batches:
             arr = b.column(1)
-            n = np.array([0 if x is None else x for x in pa.compute.list_value_length(arr).to_pylist()], np.int64)
+            n = np.array([0 if x is None else x for x in pc.list_value_length(arr).to_pylist()], np.int64)
             out, cut = detokenise(v, arr.flatten().to_numpy(zero_copy_only=False).astype(np.int64), n)
             null, raw = np.asarray(arr.is_null()), out.tobytes()
             texts = [None if x else raw[a:e] for x, a, e in zip(null.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-            if digest:
-                yield pa.RecordBatch.from_arrays([b.column(0), arr, pa.array([None if t is None else hashlib.sha256(t).hexdigest() for t in texts], pa.string())], names=["id", "pieces", "text_sha256"])
-            else:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string())], names=["id", "text"])
-
-    import pyarrow.compute  # noqa: F401
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string())], names=["id", "text"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(pieces_col).alias("pieces"))
-    out = rows.mapInArrow(run, "id long, pieces array<int>, text_sha256 string" if digest else "id long, text string")
-    return out.withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Per document: its sampled pieces, their number, and the digest of the text that they decode to."""
-    back = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")), digest=True)
+    back = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
     return back.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), "text_sha256")
