@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, narrow_batches
+from .common import buffers, chunk, narrow_batches
 
 #: Subwords are byte n-grams of these orders over lower-cased text in which all but letters is a blank.
 ORDERS, BITS, DIM = (2, 3, 4), 16, 16
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                         counted += np.bincount(bucket[ok], minlength=1 << BITS)
                 at = np.flatnonzero(counted)
                 if len(at):
-                    out.append((lang, keys[i], at.tolist(), (counted[at] / counted.sum()).tolist()))
+                    out.append((lang, keys[i], at.astype(np.int32), (counted[at] / counted.sum()).astype(np.float32)))
             if out:
                 kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["lang", "k", "at", "share"])
@@ -174,8 +174,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     top = near.select("lang", "text", "k").withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("k"))).where(F.col("_n") <= per_language).select("lang", "text", "k")
     got = top.mapInArrow(features, "lang string, k long, at array<int>, share array<float>").toArrow()
-    rows = sorted(zip(*[got.column(c).to_pylist() for c in range(4)], strict=True), key=lambda r: (r[0], r[1]))
-    return train([(lang, np.array(at), np.array(share)) for lang, _, at, share in rows])
+    langs, keys = got.column(0).to_pylist(), got.column(1).to_pylist()
+    at, share = chunk(got.column(2)), chunk(got.column(3))
+    cut = np.concatenate([[0], np.cumsum(np.asarray(at.value_lengths(), np.int64))]) if len(langs) else [0]
+    at, share = np.asarray(at.flatten()), np.asarray(share.flatten())  # both lists of a row are as long
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], keys[i]))
+    return train([(langs[i], at[cut[i] : cut[i + 1]], share[cut[i] : cut[i + 1]]) for i in order])
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
