@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from .operators import catalog, market, matching, names, pages, similarity
 from .plans import board
+from .streaming import stock
 
-QUERIES: dict = {**board.QUERIES}
-ORACLES: dict = {**board.ORACLES}
+QUERIES: dict = {}
+ORACLES: dict = {}
+for part in (board, names, catalog, market, matching, similarity, pages, stock):
+    QUERIES.update(part.QUERIES)
+    ORACLES.update(part.ORACLES)
