@@ -91,23 +91,31 @@ def bloom(keys: DataFrame, key: Column) -> DataFrame:
     return keys.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
 
 
+def packed(rows: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """A row's columns as one, so that no column of ours can clash with theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in but])
+
+
+def _filtered(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows as _row, _key and _maybe: whether the bounded filter over ``ids`` lets the id pass."""
+    told = rows.select(packed(rows).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_key"))
+    word, mask = bloom_word(F.col("_key"))
+    seen = F.broadcast(bloom(ids, F.col("id")).withColumnsRenamed({"word": "_w", "bits": "_bits"}))  # bounded: see bloom
+    told = told.withColumns({"_word": word, "_mask": mask}).join(seen, F.col("_word") == F.col("_w"), "left")
+    return told.select("_row", "_key", F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False)).alias("_maybe"))
+
+
 def only(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows whose id is in ``ids`` (column id). A bounded filter is broadcast first, so that most others stay out of the shuffle."""
-    word, mask = bloom_word(F.col(id_col).cast("long"))
-    seen = F.broadcast(bloom(ids, F.col("id")).withColumnsRenamed({"word": "_w", "bits": "_bits"}))  # bounded: see bloom
-    near = rows.withColumns({"_word": word, "_mask": mask}).join(seen, F.col("_word") == F.col("_w")).where(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask")).select(rows.columns)
-    return near.join(ids.select(F.col("id").alias("_id")).distinct(), near[id_col].cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    near = _filtered(rows, id_col, ids).where("_maybe")
+    return near.join(ids.select(F.col("id").alias("_id")).distinct(), F.col("_key").eqNullSafe(F.col("_id")), "left_semi").select("_row.*")
 
 
 def without(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows whose id is not in ``ids`` (column id). Rows that the bounded filter clears are not shuffled."""
-    word, mask = bloom_word(F.col(id_col).cast("long"))
-    seen = F.broadcast(bloom(ids, F.col("id")).withColumnsRenamed({"word": "_w", "bits": "_bits"}))  # bounded: see bloom
-    told = rows.withColumns({"_word": word, "_mask": mask}).join(seen, F.col("_word") == F.col("_w"), "left")
-    maybe = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
-    held = told.where(maybe).select(rows.columns)
-    held = held.join(ids.select(F.col("id").alias("_id")).distinct(), held[id_col].cast("long").eqNullSafe(F.col("_id")), "left_anti")
-    return told.where(~maybe).select(rows.columns).unionByName(held)
+    told = _filtered(rows, id_col, ids)
+    held = told.where("_maybe").join(ids.select(F.col("id").alias("_id")).distinct(), F.col("_key").eqNullSafe(F.col("_id")), "left_anti")
+    return told.where("not _maybe").select("_row.*").unionByName(held.select("_row.*"))
 
 
 def forest(u: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, bloom_word, written
+from .common import bloom, bloom_word, packed, written
 
 #: Rows of a memtable; when it is full it is flushed as a sorted run.
 MEMTABLE_ROWS = 200_000
@@ -93,37 +93,35 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     replaced. ``digest_bits`` shortens the index's digests (for tests): hits are verified by the texts' bytes, so
     that a collision never joins two texts.
     """
-    names = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    text = normalised(F.col(text_col))
-    digest = F.unhex(F.sha2(text, 256))
-    key = digest if digest_bits >= 256 else F.substring(digest, 1, max(1, digest_bits // 8))
-    runs = written(flush_runs(docs.select(key.alias("digest"), F.col(id_col).alias("id")), memtable_rows), "runs")
+    text = normalised(F.col(f"`{text_col}`").cast("string"))
+    rows = docs.select(packed(docs, ("keep_id", "group_size", "kept", "text_sha256")).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), text.alias("_text"))
+    rows = rows.withColumn("_digest", F.unhex(F.sha2("_text", 256)))
+    rows = rows.withColumn("_key", F.col("_digest") if digest_bits >= 256 else F.substring("_digest", 1, max(1, digest_bits // 8)))
+    runs = written(flush_runs(rows.select(F.col("_key").alias("digest"), F.col("_id").alias("id")), memtable_rows), "runs")
     index = written(compact(runs), "index")
     hits = index.where("n > 1").select(F.col("digest").alias("_hit"), F.col("keep_id").alias("_low"), F.col("n").alias("_n"))
     seen = F.broadcast(repeated_filter(index))  # bounded: see bloom
     word, mask = bloom_word(F.col("_key"))
-    rows = docs.select(names).withColumn("_text", text).withColumn("_digest", F.unhex(F.sha2("_text", 256)))
-    rows = rows.withColumn("_key", F.col("_digest") if digest_bits >= 256 else F.substring("_digest", 1, max(1, digest_bits // 8)))
     rows = rows.withColumns({"_word": word, "_mask": mask}).join(seen.withColumnsRenamed({"word": "_w", "bits": "_bits"}), F.col("_word") == F.col("_w"), "left")
     maybe = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
-    own = [F.col(id_col).cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256")]
-    alone = rows.where(~maybe).select(*names, *own)
+    own = ["_row.*", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256")]
+    alone = rows.where(~maybe).select(*own)
 
     # the texts that pass the filter meet the index; those that it holds are verified against the kept row's text
-    probed = written(rows.where(maybe).select(*names, "_text", "_digest", "_key").join(hits, F.col("_key") == F.col("_hit"), "left").drop("_hit"), "probed")
-    missed = probed.where("_n is null").select(*names, *own)
+    probed = written(rows.where(maybe).select("_row", "_id", "_text", "_digest", "_key").join(hits, F.col("_key") == F.col("_hit"), "left").drop("_hit"), "probed")
+    missed = probed.where("_n is null").select(*own)
     held = probed.where("_n is not null")
-    first = held.where(F.col(id_col).eqNullSafe(F.col("_low"))).groupBy(F.col("_key").alias("_k")).agg(F.min("_text").alias("_first"))
+    first = held.where(F.col("_id").eqNullSafe(F.col("_low"))).groupBy(F.col("_key").alias("_k")).agg(F.min("_text").alias("_first"))
     held = held.join(first, F.col("_key") == F.col("_k")).withColumn("_same", F.col("_text") == F.col("_first")).drop("_first", "_k")
     wrong = held.where("not _same").select(F.col("_key").alias("_k")).distinct()
-    result = [F.col("_low").alias("keep_id"), F.col("_n").alias("group_size"), F.col(id_col).cast("long").eqNullSafe(F.col("_low")).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256")]
+    result = ["_row.*", F.col("_low").alias("keep_id"), F.col("_n").alias("group_size"), F.col("_id").eqNullSafe(F.col("_low")).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256")]
     if wrong.isEmpty():
-        return alone.unionByName(missed).unionByName(held.select(*names, *result))
+        return alone.unionByName(missed).unionByName(held.select(*result))
     wrong = written(wrong, "collisions")
-    good = held.join(wrong, F.col("_key") == F.col("_k"), "left_anti").select(*names, *result)
+    good = held.join(wrong, F.col("_key") == F.col("_k"), "left_anti").select(*result)
     torn = held.drop("_low", "_n").join(wrong, F.col("_key") == F.col("_k"), "left_semi")
-    exact = torn.groupBy(F.col("_text").alias("_t")).agg(F.min(F.col(id_col).cast("long")).alias("_low"), F.count("*").alias("_n"))
-    torn = torn.join(exact, F.col("_text") == F.col("_t")).select(*names, *result)
+    exact = torn.groupBy(F.col("_text").alias("_t")).agg(F.min("_id").alias("_low"), F.count("*").alias("_n"))
+    torn = torn.join(exact, F.col("_text") == F.col("_t")).select(*result)
     return alone.unionByName(missed).unionByName(good).unionByName(torn)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunk, narrow_batches
+from .common import buffers, chunk, narrow_batches, packed
 
 #: Subwords are byte n-grams of these orders over lower-cased text in which all but letters is a blank.
 ORDERS, BITS, DIM = (2, 3, 4), 16, 16
@@ -205,10 +205,10 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
         names = np.array(m.langs, object)
         return pd.DataFrame({"lang": names[np.where(best < 0, prior, best)], "score": np.where(best < 0, 1 / len(names), score), "accepted": score >= max(m.threshold, 1e-9)})
 
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
-    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*names, tell(F.col(text_col)).alias("_told"), letters.alias("_letters"))
-    return rows.select(*names, F.when(F.col("_letters"), F.col("_told.lang")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("_letters"), F.col("_told.score")).otherwise(0.0).alias("score"), (F.col("_letters") & F.col("_told.accepted")).alias("accepted"))
+    text = F.col(f"`{text_col}`")
+    letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(packed(docs, ("lang_pred", "score", "accepted")).alias("_row"), tell(text).alias("_told"), letters.alias("_letters"))
+    return rows.select("_row.*", F.when(F.col("_letters"), F.col("_told.lang")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("_letters"), F.col("_told.score")).otherwise(0.0).alias("score"), (F.col("_letters") & F.col("_told.accepted")).alias("accepted"))
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
