@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, narrow_batches, written
+from .common import components, forest, narrow_batches, written
 
 THRESHOLD, BLOCKS, SEED = 0.9, 4, 3
 #: Vectors of a cell that meet in one task; fuller cells are cut into chunks, and every pair of chunks meets.
@@ -63,18 +63,23 @@ def joined(ids: np.ndarray, n: np.ndarray, home: np.ndarray, side: np.ndarray, x
     length = np.sqrt((x * x).sum(axis=1))
     a, b, budget = spans[block]
     low = r[:, a:b].astype(np.float32)
-    norm = (low * low).sum(axis=1)
+    # one product gives -distance / 2: the block beside 1 and -norm / 2, against -norm / 2 and 1
+    half, one = -(low * low).sum(axis=1, keepdims=True) / 2, np.ones((len(low), 1), np.float32)
+    ahead, behind = np.hstack([low, one, half]).astype(np.float32), np.ascontiguousarray(np.hstack([low, half, one]).astype(np.float32).T)
     left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    if not same:
+        behind = np.ascontiguousarray(behind[:, right])
     links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for s in range(0, len(left), SLICE):
-        i = left[s : s + SLICE]
-        near = norm[i][:, None] + norm[right] - 2 * (low[i] @ low[right].T) <= np.float32(budget + 1e-5)
-        near &= home[i][:, None] | home[right]
+        first = s if same else 0
+        near = ahead[left[s : s + SLICE]] @ behind[:, first:] >= np.float32(-(budget + 1e-5) / 2)
+        at = np.flatnonzero(near)
+        p, q = left[s + at // near.shape[1]], right[first + at % near.shape[1]]
+        ok = home[p] | home[q]
         if same:
-            near &= i[:, None] < right
-        p, q = np.nonzero(near)
-        p, q = i[p], right[q]
+            ok &= p < q
+        p, q = p[ok], q[ok]
         for k in range(0, len(p), PAIRS):
             u, w = p[k : k + PAIRS], q[k : k + PAIRS]
             dist = (r[u] - r[w]) ** 2
@@ -88,18 +93,7 @@ def joined(ids: np.ndarray, n: np.ndarray, home: np.ndarray, side: np.ndarray, x
             np.add.at(links, w, n[u])
             found.append((u, w))
     if found:
-        u, w = (np.concatenate(z) for z in zip(*found, strict=True))
-        while True:
-            low_root = np.minimum(root[u], root[w])
-            new = root.copy()
-            np.minimum.at(new, u, low_root)
-            np.minimum.at(new, w, low_root)
-            np.minimum.at(new, root[u], low_root)
-            np.minimum.at(new, root[w], low_root)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
+        root = forest(*(np.concatenate(z) for z in zip(*found, strict=True)), len(ids))
     return links, root
 
 
