@@ -83,6 +83,25 @@ def test_ngram_join_against_all_pairs(spark):
     assert ngram_join.jaccard_join(documents(spark, []).limit(0)).count() == 0
 
 
+def short_pairs(seed=5):
+    """Texts of 3 to 12 words, each also extended by a word at one end; words are not shared between pairs."""
+    r = random.Random(seed)
+    texts = []
+    for i in range(150):
+        words = ["p%dw%d" % (i, k) for k in range(8 if i < 100 else r.randrange(4, 14))]
+        texts += [" ".join(words), " ".join(words[1:] if i % 2 else words[:-1])]
+    return texts
+
+
+@pytest.mark.parametrize("percent", [75, 50])
+def test_ngram_join_of_short_texts_against_all_pairs(spark, percent):
+    texts = short_pairs()
+    sets = shingle_sets(texts)
+    want = [i - i % 2 if 100 * len(sets[i] & sets[i ^ 1]) >= percent * len(sets[i] | sets[i ^ 1]) else i for i in range(len(sets))]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_join(documents(spark, texts), percent=percent).collect()}
+    assert sum(got[i] != c for i, c in enumerate(want)) == 0
+
+
 def test_repeat_removal_against_brute_force(spark):
     r = random.Random(1)
     base = "".join(r.choice("abcdefgh \né") for _ in range(2500))
