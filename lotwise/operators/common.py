@@ -1,9 +1,20 @@
-"""Readers that the queries share."""
+"""Readers and the scratch folder that the queries share."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``, else one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="lotwise-")  # single machine, as in tests
+    return f"{base.rstrip('/')}/lotwise-{name}-{uuid.uuid4().hex}"

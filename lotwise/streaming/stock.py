@@ -2,43 +2,56 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.common import scratch
 from ..operators.market import FRESH
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 OUT = "event_id long, stock long, sold long, listed long"
-
-
-def stream_changes(snapshots: DataFrame, fresh_seconds: int = FRESH) -> DataFrame:
-    """Streaming snapshots (event_id, user_id, event_type, ts, stock) to event_id, stock, sold and listed.
-
-    Snapshots of an item are taken in order of (ts, event_id) within a batch; an older one than the state's comes too
-    late and gives nothing.
+STATE = "user_id long, event_type string, us long, event_id long, stock long"
+
+
+def batch_changes(rows: DataFrame, held: DataFrame, fresh_seconds: int = FRESH) -> tuple[DataFrame, DataFrame]:
+    """OUT of the snapshots of a micro-batch, and the last snapshot of each item (STATE) after it; ``held`` are those before it."""
+    both = rows.select("user_id", "event_type", "us", "event_id", "stock", F.lit(1).alias("new")).unionByName(held.withColumn("new", F.lit(0)))
+    item = Window.partitionBy("user_id", "event_type")
+    w = item.orderBy("us", "event_id", "new")
+    told = both.withColumns({
+        "d": F.col("stock") - F.lag("stock").over(w),
+        "gap": F.col("us") - F.lag("us").over(w),
+        # the state's snapshot is still to come in the order: too late
+        "late": F.min("new").over(item) < F.min("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+    })
+    fresh = (F.col("gap") <= fresh_seconds * 1_000_000) & F.col("d").isNotNull()
+    out = told.where("new = 1 AND NOT late").select("event_id", "stock", F.when(fresh, F.greatest(-F.col("d"), F.lit(0))).alias("sold"), F.when(fresh, F.greatest("d", F.lit(0))).alias("listed"))
+    last = both.groupBy("user_id", "event_type").agg(F.max(F.struct("us", "event_id", "new", "stock")).alias("x"))
+    return out, last.select("user_id", "event_type", "x.us", "x.event_id", "x.stock")
+
+
+def stream_changes(snapshots: DataFrame, path: str, fresh_seconds: int = FRESH) -> DataFrame:
+    """Streaming snapshots (event_id, user_id, event_type, ts, stock) to event_id, stock, sold and listed, until the stream ends.
+
+    Snapshots of an item are taken in order of (ts, event_id) within a micro-batch, whatever its size; an older one than
+    the state's comes too late and gives nothing. Results and state are written below ``path``. A micro-batch reads the
+    state of the one before and writes its own beside it, so that it can be run again.
     """
+    spark = snapshots.sparkSession
 
-    def step(key, frames, state):
-        import pandas as pd
-
-        last = state.get if state.exists else None
-        for pdf in frames:
-            rows = []
-            for r in pdf.sort_values(["us", "event_id"]).itertuples(index=False):
-                if last is not None and (r.us, r.event_id) < last[:2]:
-                    continue
-                d = int(r.stock - last[2]) if last is not None and r.us - last[0] <= fresh_seconds * 1_000_000 else None
-                rows.append((int(r.event_id), int(r.stock), None if d is None else max(-d, 0), None if d is None else max(d, 0)))
-                last = (int(r.us), int(r.event_id), int(r.stock))
-            yield pd.DataFrame(rows, columns=["event_id", "stock", "sold", "listed"]).astype({"sold": "Int64", "listed": "Int64"})
-        if last is not None:
-            state.update(last)
+    def step(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        held = own.read.schema(STATE).parquet(f"{path}/last-{(number - 1) % 2}") if number else own.createDataFrame([], STATE)
+        out, last = batch_changes(batch, held, fresh_seconds)
+        out.write.mode("overwrite").parquet(f"{path}/out/{number}")
+        last.write.mode("overwrite").parquet(f"{path}/last-{number % 2}")
 
+    spark.createDataFrame([], OUT).write.mode("overwrite").parquet(f"{path}/out/none")
     rows = snapshots.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).select("user_id", "event_type", "event_id", "us", "stock")
-    return rows.groupBy("user_id", "event_type").applyInPandasWithState(step, OUT, "us long, event_id long, stock long", "append", "NoTimeout")
+    query = rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{path}/out/*")
 
 
 def stock_delta_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,15 +60,7 @@ def stock_delta_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a stream reads folders: the file by its name, or the parts of a folder
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     events = source.select("event_id", "user_id", "event_type", "ts", F.floor("value").cast("long").alias("stock"))
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="lotwise-")  # single machine, as in tests
-    path = f"{base.rstrip('/')}/lotwise-stock-{uuid.uuid4().hex}"
-    query = stream_changes(events).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(OUT).parquet(f"{path}/out")
+    return stream_changes(events, scratch(spark, "stock"))
 
 
 QUERIES["stock_delta_stream"] = stock_delta_stream

@@ -1,4 +1,8 @@
+import datetime
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lotwise import registry
@@ -20,6 +24,35 @@ def test_stream_gives_the_rows_of_the_batch(spark):
     assert a == b
 
 
+def test_stream_of_a_large_item_out_of_order(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    hot = spark.range(5000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") * 7919 % 503).cast("double").alias("value"), F.lit("").alias("props"))
+    assert hot.columns == events.columns
+    hot.orderBy(F.xxhash64("event_id")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        a, b = (sorted(map(tuple, registry.QUERIES[q](spark, str(tmp_path)).collect()), key=str) for q in ("stock_delta", "stock_delta_stream"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(b) == 5000 and a == b
+
+
+def test_stream_state_over_batches(spark, tmp_path):
+    from lotwise.streaming.stock import stream_changes
+
+    schema = "event_id long, user_id long, event_type string, ts timestamp, stock long"
+    at = lambda s: datetime.datetime.fromtimestamp(1_700_000_000 + s, datetime.UTC)
+    first = [(1, 1, "a", at(0), 10), (3, 1, "a", at(200), 4), (2, 1, "a", at(100), 12), (4, 2, "a", at(0), 5)]
+    second = [(6, 1, "a", at(400), 9), (5, 1, "a", at(300), 3), (7, 1, "a", at(150), 99), (8, 2, "a", at(90_000), 1), (9, 3, "a", at(0), 2)]
+    for k, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1 * (1 - k))  # files are taken by age
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = sorted(map(tuple, stream_changes(source, f"{tmp_path}/out").collect()))
+    assert got == [(1, 10, None, None), (2, 12, 0, 2), (3, 4, 8, 0), (4, 5, None, None), (5, 3, 1, 0), (6, 9, 0, 6), (8, 1, None, None), (9, 2, None, None)]
+
+
 def test_greedy_assignment(spark):
     from lotwise.operators.matching import greedy_pairs
 
