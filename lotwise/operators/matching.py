@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .common import table
+from .common import scratch, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -53,21 +53,32 @@ ORACLES["variant_pick"] = "SELECT p_name, p_partkey FROM part QUALIFY row_number
 def greedy_pairs(pairs: DataFrame, group: str = "g") -> DataFrame:
     """One-to-one assignment in each group: pairs (g, i, j, fit) in order of fit, i, j; each is taken if both are free.
 
-    A group is one name with its items and offers. Null fits are impossible pairs.
+    Null fits are impossible pairs. Taken in rounds: a pair that is the first of its i and the first of its j has none
+    before it that could take either, so all such pairs are taken at once, and the pairs of what they use leave. The
+    first pair of a group is always one of them. Rounds are written to the shared folder, with the pairs left in two
+    places by turns.
     """
-
-    def take(pdf):
-        import pandas as pd
-
-        used_i, used_j, out = set(), set(), []
-        for r in pdf.sort_values(["fit", "i", "j"]).itertuples(index=False):
-            if r.i not in used_i and r.j not in used_j:
-                used_i.add(r.i)
-                used_j.add(r.j)
-                out.append((r.i, r.j, r.fit))
-        return pd.DataFrame(out, columns=["i", "j", "fit"]).astype({"i": "int64", "j": "int64", "fit": "float64"})
-
-    return pairs.where("fit IS NOT NULL").groupBy(group).applyInPandas(take, "i long, j long, fit double")
+    spark = pairs.sparkSession
+    path = scratch(spark, "greedy")
+    left = pairs.where("fit IS NOT NULL").select(F.col(group).alias("g"), "i", "j", "fit").groupBy("g", "i", "j").agg(F.min("fit").alias("fit"))
+    schema = left.schema
+    left.write.parquet(f"{path}/left-0")
+    left = spark.read.schema(schema).parquet(f"{path}/left-0")
+    number = 0
+    while True:
+        first_i = left.groupBy("g", "i").agg(F.min(F.struct("fit", "j")).alias("x")).select("g", "i", "x.j", "x.fit")
+        first_j = left.groupBy("g", "j").agg(F.min(F.struct("fit", "i")).alias("x")).select(F.col("g").alias("_g"), F.col("x.i").alias("_i"), F.col("j").alias("_j"))
+        same = F.col("g").eqNullSafe(F.col("_g"))
+        both = first_i.join(first_j, same & (F.col("i") == F.col("_i")) & (F.col("j") == F.col("_j")), "left_semi")
+        both.write.parquet(f"{path}/taken/{number}")
+        taken = spark.read.schema(schema).parquet(f"{path}/taken/{number}")
+        for c in ("i", "j"):
+            left = left.join(taken.select(F.col("g").alias("_g"), F.col(c).alias("_c")), same & (F.col(c) == F.col("_c")), "left_anti")
+        number += 1
+        left.write.mode("overwrite").parquet(f"{path}/left-{number % 2}")
+        left = spark.read.schema(schema).parquet(f"{path}/left-{number % 2}")
+        if left.isEmpty():
+            return spark.read.schema(schema).parquet(f"{path}/taken/*").select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("fit").cast("double"))
 
 
 def assign_greedy(spark, sf_dir):

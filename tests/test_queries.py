@@ -1,4 +1,5 @@
 import datetime
+import random
 import time
 
 import pytest
@@ -59,3 +60,26 @@ def test_greedy_assignment(spark):
     rows = [(1, 1, 10, 0.5), (1, 1, 11, 0.1), (1, 2, 11, 0.2), (1, 2, 10, 0.9), (1, 3, 10, None), (2, 1, 10, 0.3)]
     got = greedy_pairs(spark.createDataFrame(rows, "g long, i long, j long, fit double")).collect()
     assert sorted(map(tuple, got)) == [(1, 10, 0.3), (1, 11, 0.1), (2, 10, 0.9)]
+
+
+def test_greedy_assignment_without_a_frame_per_group(spark, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    from lotwise.operators.matching import greedy_pairs
+
+    def frame(*_):
+        raise AssertionError("a group in one frame")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", frame)
+    r = random.Random(2)
+    # ties, a chain in which each pair waits for the one before, and a group without a name
+    rows = [(g, r.randrange(12), r.randrange(15), float(r.randrange(6))) for g in (1, 2, None) for _ in range(80)] + [(3, k // 2, (k + 1) // 2, float(k)) for k in range(12)]
+    want, used = [], set()
+    for g, i, j, fit in sorted(rows, key=lambda x: (x[3], x[1], x[2])):
+        if not used & {(g, "i", i), (g, "j", j)}:
+            used |= {(g, "i", i), (g, "j", j)}
+            want.append((i, j, fit))
+    got = greedy_pairs(spark.createDataFrame(rows, "g long, i long, j long, fit double"))
+    assert got.dtypes == [("i", "bigint"), ("j", "bigint"), ("fit", "double")]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert greedy_pairs(spark.createDataFrame([], "g long, i long, j long, fit double")).count() == 0
