@@ -17,8 +17,8 @@ from .common import shared_dir, written
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 #: Labelled URLs that the trees are fitted on, at most: those with the smallest hashes.
 SAMPLE_ROWS = 20_000
-#: A suffix has statistics of its own if it has this share of the labelled URLs: at most 1 / SUFFIX_SHARE suffixes do.
-SUFFIX_SHARE, SMOOTH = 0.001, 20.0
+#: Labelled URLs' worth of the prior in a suffix's rate; parts that the rows of a suffix are dealt to where its statistics are joined by a shuffle.
+SMOOTH, SALTS = 20.0, 16
 TREES, DEPTH, THRESHOLD, SEED = 10, 3, 0.5, 7
 FEATURES = ["len_url", "len_host", "len_path", "depth", "labels", "digit_ratio", "hyphens", "entropy", "params", "fragment", "suffix_rate", "suffix_n"]
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -77,7 +77,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rows = rows.withColumns({"_suffix": F.substring_index("host", ".", -1), "_y": (F.col("_says") == "block").cast("double")})
     rows = written(rows, "urls")
     known = rows.where("_says is not null")
-    by_suffix = known.groupBy("_suffix").agg(F.count("*").cast("double").alias("n"), F.sum("_y").alias("y"))
+    by_suffix = written(known.groupBy("_suffix").agg(F.count("*").cast("double").alias("n"), F.sum("_y").alias("y")), "suffixes")
     total = by_suffix.agg(F.sum("n").alias("n"), F.sum("y").alias("y")).first()
     n, y = total["n"] or 0.0, total["y"] or 0.0
     prior = y / n if n else 0.0
@@ -85,8 +85,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         score = F.lit(1.0 if n and y else 0.0)
         scored = rows.withColumn("score", score)
     else:
-        stats = F.broadcast(by_suffix.where(F.col("n") >= SUFFIX_SHARE * n).select(F.col("_suffix").alias("_s"), ((F.col("y") + SMOOTH * prior) / (F.col("n") + SMOOTH)).alias("_r"), (F.col("n") / n).alias("_c")))
-        full = lambda d: d.join(stats, d["_suffix"] == stats["_s"], "left").withColumns({"suffix_rate": F.coalesce("_r", F.lit(prior)), "suffix_n": F.coalesce("_c", F.lit(0.0))}).drop("_s", "_r", "_c")
+        stats = by_suffix.select(F.col("_suffix").alias("_s"), ((F.col("y") + SMOOTH * prior) / (F.col("n") + SMOOTH)).alias("_r"), (F.col("n") / n).alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
+        salt = F.pmod(F.xxhash64("_id", "_url"), F.lit(SALTS)).cast("int")
+        full = lambda d: d.withColumn("_salt", salt).join(stats, (F.col("_suffix") == F.col("_s")) & (F.col("_salt") == F.col("_part")), "left").withColumns({"suffix_rate": F.coalesce("_r", F.lit(prior)), "suffix_n": F.coalesce("_c", F.lit(0.0))}).drop("_s", "_r", "_c", "_salt", "_part")
         sample = known.dropDuplicates(["_url"]).orderBy(F.xxhash64("_url"), "_url").limit(sample_rows)
         assembler = VectorAssembler(inputCols=FEATURES, outputCol="_x")
         fitted = written(full(sample).select("_y", *FEATURES), "urls-fit").coalesce(4)

@@ -206,6 +206,19 @@ def test_url_trees_learn_from_the_labelled_urls(spark):
     assert len(told) == 100 and sum((v == "block") == (i < 350) for i, v in told.items()) >= 95
 
 
+def test_url_trees_know_rare_suffixes(spark):
+    """Ten suffixes with less than a thousandth of the labelled URLs each; nothing but the suffix tells the verdict."""
+    r = random.Random(6)
+    url = lambda h: f"http://{h}/" + "".join(r.choice("abcdefgh") for _ in range(10))
+    urls = [url(h) for h in ("bad.info", "gud.info") for _ in range(2800)] + [url(f"lab.s{k}") for k in range(10) for _ in range(5)]
+    rules = [("bad.info/", "block"), ("gud.info/", "allow"), *[(f"lab.s{k}/", "block" if k % 2 else "allow") for k in range(10)]]
+    asked = len(urls)
+    urls += [url(f"oth.s{k}") for k in range(10) for _ in range(4)]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()
+    told = {x.page_id - asked: x.verdict for x in got if x.rule is None}
+    assert len(told) == 40 and sum((v == "block") == (i // 4 % 2 == 1) for i, v in told.items()) == 40
+
+
 def test_chat_format(spark):
     rows = [(1, 0, "user", "<|im_end|> <\\|x"), (1, 1, "assistant", None), (1, 2, "assistant", "<|im_start|>user\nhi<|im_end|>\n"), (2, 0, None, "é🙂"), (None, 0, "assistant", "x"), (3, 0, "a\\n\nb<|", "")]
     turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("c", F.lit(0))
