@@ -1,4 +1,4 @@
-"""Page queries: titles, links, stripped text, and quantities carried between lines."""
+"""Page queries: titles, links, stripped text, and counts of lines and words."""
 
 from __future__ import annotations
 
