@@ -63,9 +63,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def fragments(spark: SparkSession) -> int:
-    """Fragments of a hash range; follows the cluster's number of shuffle partitions."""
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of text whose hashes meet in one fragment, at most (about; hashes are spread evenly).
+FRAGMENT_BYTES = 128 << 20
+
+
+def fragments(docs: DataFrame, text_col: str) -> int:
+    """Fragments of a hash range: as many as keep one within FRAGMENT_BYTES of text, and no fewer than the shuffle partitions."""
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    return max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT_BYTES))
 
 
 def narrow_batches(spark: SparkSession) -> None:
@@ -74,20 +79,25 @@ def narrow_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-#: 64-bit words of a Bloom filter: a fixed 1 MiB, whatever the table holds. A full filter lets all rows pass.
-FILTER_WORDS = 1 << 17
+#: 64-bit words of a Bloom filter: about one for six keys, between these bounds (16 KiB and 32 MiB of bits). Beyond some
+#: 25 million keys it fills, and lets more rows into the shuffle that follows; none is lost.
+FILTER_WORDS = (1 << 11, 1 << 22)
+
+
+def filter_words(keys: int) -> int:
+    return min(max(1 << (keys // 6).bit_length(), FILTER_WORDS[0]), FILTER_WORDS[1])
 
 
-def bloom_word(key: Column) -> tuple[Column, Column]:
+def bloom_word(key: Column, words: int) -> tuple[Column, Column]:
     """Place and bit mask of a key in a blocked Bloom filter: three bits of one 64-bit word."""
     h = F.xxhash64(key)
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, k), F.lit(64)).cast("int"))
-    return F.pmod(h, F.lit(FILTER_WORDS)), bit(20).bitwiseOR(bit(33)).bitwiseOR(bit(46))
+    return F.pmod(h, F.lit(words)), bit(26).bitwiseOR(bit(39)).bitwiseOR(bit(52))
 
 
-def bloom(keys: DataFrame, key: Column) -> DataFrame:
-    """Blocked Bloom filter over the keys: at most FILTER_WORDS rows of (word, bits)."""
-    word, mask = bloom_word(key)
+def bloom(keys: DataFrame, key: Column, words: int) -> DataFrame:
+    """Blocked Bloom filter over the keys: at most ``words`` rows of (word, bits)."""
+    word, mask = bloom_word(key, words)
     return keys.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
 
 
@@ -97,10 +107,11 @@ def packed(rows: DataFrame, but: tuple[str, ...] = ()) -> Column:
 
 
 def _filtered(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """Rows as _row, _key and _maybe: whether the bounded filter over ``ids`` lets the id pass."""
+    """Rows as _row, _key and _maybe: whether the bounded filter over ``ids`` (a written table) lets the id pass."""
     told = rows.select(packed(rows).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_key"))
-    word, mask = bloom_word(F.col("_key"))
-    seen = F.broadcast(bloom(ids, F.col("id")).withColumnsRenamed({"word": "_w", "bits": "_bits"}))  # bounded: see bloom
+    words = filter_words(ids.count())
+    word, mask = bloom_word(F.col("_key"), words)
+    seen = F.broadcast(bloom(ids, F.col("id"), words).withColumnsRenamed({"word": "_w", "bits": "_bits"}))  # bounded: see FILTER_WORDS
     told = told.withColumns({"_word": word, "_mask": mask}).join(seen, F.col("_word") == F.col("_w"), "left")
     return told.select("_row", "_key", F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False)).alias("_maybe"))
 
@@ -300,6 +311,16 @@ def unpack(sizes: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
 SLICE = "frag int, batch long, hashes binary, counts binary"
 
 
+def to_byte(n: np.ndarray) -> np.ndarray:
+    """Counts as bytes: exact up to 128, beyond that 121 + the logarithm to base 2, rounded up."""
+    return np.where(n <= 128, n, 121 + np.ceil(np.log2(np.maximum(n, 1)))).astype(np.uint8)
+
+
+def from_byte(b: np.ndarray) -> np.ndarray:
+    """The count that a byte stands for: exact up to 128, beyond that the next power of two."""
+    return np.where(b <= 128, b, np.exp2(np.minimum(b, 183).astype(float) - 121)).astype(np.int64)
+
+
 def to_slices(batch: int, hashes: np.ndarray, counts: np.ndarray, f: int, width: int) -> Iterator[tuple]:
     """Cut the sorted distinct hashes of a batch at f even points of the hash range; ``width`` bytes of each are kept."""
     edge = [(i << 64) // f for i in range(f)]
@@ -309,13 +330,13 @@ def to_slices(batch: int, hashes: np.ndarray, counts: np.ndarray, f: int, width:
         a, b = cut[i], cut[i + 1]
         if a < b:
             v = ((hashes[a:b] - U64(edge[i])) >> shift).astype("<u8")
-            yield i, batch, v.view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), np.minimum(counts[a:b], 255).astype(np.uint8).tobytes()
+            yield i, batch, v.view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), to_byte(counts[a:b]).tobytes()
 
 
 def global_counts(slices: DataFrame, width: int) -> DataFrame:
     """Of slices (SLICE) of each batch's hashes, how often each occurs in all batches together.
 
-    Returns batch, counts: parts in order, one byte for each hash of the batch, 255 for that and more. Each fragment of
+    Returns batch, counts: parts in order, one byte for each hash of the batch (see to_byte). Each fragment of
     the hash range is counted on its own; the bytes return to their batch.
     """
 
@@ -332,7 +353,7 @@ def global_counts(slices: DataFrame, width: int) -> DataFrame:
         new = np.ones(len(ranked), bool)
         new[1:] = ranked[1:] != ranked[:-1]
         at = np.flatnonzero(new)
-        total = np.minimum(np.add.reduceat(own[order].astype(np.int64), at), 255).astype(np.uint8)
+        total = to_byte(np.add.reduceat(from_byte(own)[order], at))
         back = np.empty(len(keys), np.uint8)
         back[order] = np.repeat(total, np.diff(np.append(at, len(keys))))
         cut = np.concatenate([[0], np.cumsum(n)])

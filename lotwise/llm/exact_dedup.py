@@ -1,18 +1,29 @@
-"""Exact dedup with a log-structured merge index of text digests."""
+"""Exact dedup with a log-structured merge index of text digests.
+
+Tasks fill memtables, which keep a digest once with its smallest id and its count, and flush them as sorted runs, cut
+by ranges of the digest. Compaction merges the runs of a range level by level. Its answers return to the runs, so that
+a text of which a third of all rows are copies is one entry for each run and never a key under which its rows meet.
+Hits are verified by bytes: copies within a memtable there, and the first copies of the runs by an aggregate.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, bloom_word, packed, written
+from .common import bloom, bloom_word, filter_words, narrow_batches, only, packed, written
 
-#: Rows of a memtable; when it is full it is flushed as a sorted run.
-MEMTABLE_ROWS = 200_000
-RUN = "run long, digest binary, keep_id long, n long"
+#: Rows and bytes of text of a memtable; when it is full it is flushed as a sorted run.
+MEMTABLE_ROWS, MEMTABLE_BYTES = 200_000, 32 << 20
+#: Rows of a range of digests (about; digests are spread evenly), and runs that one step of compaction merges.
+RANGE_ROWS, FAN_IN = 1_000_000, 16
+RESULT = ("keep_id", "group_size", "kept", "text_sha256")
+_RUN = "run long, range int, keys binary, low array<long>, n array<long>, torn binary, ids array<long>, shas binary, place binary"
 
 
 def normalised(text: Column) -> Column:
@@ -20,70 +31,176 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def flush_runs(keys: DataFrame, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
-    """(digest, id) rows to sorted runs: each task fills memtables, which keep a digest once with its smallest id and count."""
+def _smallest(low: np.ndarray, null: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The smallest id of each group that begins at ``at``; null where all are."""
+    value = np.minimum.reduceat(np.where(null, np.iinfo(np.int64).max, low), at)
+    return pa.array(value, mask=np.logical_and.reduceat(null, at))
+
+
+def _longs(column) -> tuple[np.ndarray, np.ndarray]:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.fill_null(0), np.int64), np.asarray(flat.is_null())
+
+
+def flush_runs(rows: DataFrame, width: int, ranges: int, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
+    """(id, text, sha) rows to sorted runs, a row for each run and range of digests.
+
+    keys: the distinct digests in order (``width`` bytes of each sha), low and n: smallest id and count of each, torn:
+    whether its texts differ (a collision). ids, shas and place: the rows themselves with the number of their key.
+    """
 
     def memtables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, seq = TaskContext.get().partitionId() << 20, 0
-        table: dict[bytes, tuple[int | None, int]] = {}
+        seq = TaskContext.get().partitionId() << 24
+        held: list[pa.RecordBatch] = []
+        rows = size = 0
 
         def flush():
-            rows = sorted(table.items())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([base + seq] * len(rows), pa.int64()), pa.array([k for k, _ in rows], pa.binary()), pa.array([v[0] for _, v in rows], pa.int64()), pa.array([v[1] for _, v in rows], pa.int64())],
-                names=["run", "digest", "keep_id", "n"],
-            )
+            t = pa.Table.from_batches(held)
+            ids, null = _longs(t.column(0))
+            shas = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(-1, 32)
+            keys = np.ascontiguousarray(shas[:, :width]).view(f"V{width}").ravel()
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            at = np.flatnonzero(new)
+            place = np.cumsum(new) - 1
+            n = np.diff(np.append(at, len(keys)))
+            # copies meet the first text of their digest
+            torn = np.zeros(len(at), bool)
+            copies = np.flatnonzero(~new)
+            if len(copies):
+                text = t.column(1).cast(pa.large_string()).combine_chunks()
+                same = pc.equal(text.take(pa.array(order[copies])), text.take(pa.array(order[at[place[copies]]])))
+                torn[place[copies[~np.asarray(same)]]] = True
+            low = _smallest(ids[order], null[order], at)
+            head = shas[order[at], 0].astype(np.int64) << 8 | (shas[order[at], 1] if width > 1 else 0)
+            part = head * ranges >> 16
+            cut = np.searchsorted(part, np.arange(ranges + 1))
+            out = []
+            for k in range(ranges):
+                a, b = cut[k], cut[k + 1]
+                if a < b:
+                    x, y = at[a], at[b] if b < len(at) else len(keys)
+                    mine = pa.array(ids[order[x:y]], mask=null[order[x:y]]).to_pylist()
+                    out.append((seq, k, keys[at[a:b]].tobytes(), low[a:b].to_pylist(), n[a:b].tolist(), torn[a:b].tobytes(), mine, shas[order[x:y]].tobytes(), (place[x:y] - a).astype(np.uint32).tobytes()))
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["run", "range", "keys", "low", "n", "torn", "ids", "shas", "place"])
 
         for b in batches:
-            for digest, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                low, n = table.get(digest, (None, 0))
-                table[digest] = (i if low is None else low if i is None else min(low, i), n + 1)
-                if len(table) >= memtable_rows:
-                    yield flush()
-                    table, seq = {}, seq + 1
-        if table:
+            held.append(b)
+            rows, size = rows + b.num_rows, size + b.column(1).nbytes
+            if rows >= memtable_rows or size >= MEMTABLE_BYTES:
+                yield flush()
+                held, rows, size, seq = [], 0, 0, seq + 1
+        if rows:
             yield flush()
 
-    return keys.select("digest", F.col("id").cast("long")).mapInArrow(memtables, RUN)
+    return rows.select("id", "text", "sha").mapInArrow(memtables, _RUN)
 
 
-def compact(runs: DataFrame) -> DataFrame:
-    """Merge runs: digests meet by range of the digest, sorted, and a streaming merge keeps the smallest id and the sum of counts.
+def compact(runs: DataFrame, width: int, fan_in: int = FAN_IN) -> DataFrame:
+    """Merge the runs of each range, ``fan_in`` at a time, until one is left: range, keys, low, n, torn, and runs, the number of runs that hold a key.
 
-    A run holds a digest once, so the most frequent text adds one row for each memtable.
+    A merge keeps the smallest id and sums the counts. Runs hold a digest once, so a frequent text weighs no more than
+    a rare one.
     """
-    merged = runs.repartition("digest").sortWithinPartitions("digest")
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, int | None, int] | None = None  # the open digest may go on in the next batch
-        for b in batches:
-            out = []
-            for digest, i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if last and last[0] == digest:
-                    last = (digest, i if last[1] is None else last[1] if i is None else min(last[1], i), last[2] + n)
-                else:
-                    if last:
-                        out.append(last)
-                    last = (digest, i, n)
-            if out:
-                yield batch(out)
-        if last:
-            yield batch([last])
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["digest", "keep_id", "n"])
-
-    return merged.select("digest", "keep_id", "n").mapInArrow(merge, "digest binary, keep_id long, n long")
+    def merge(table: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), f"V{width}")
+        low, null = _longs(table.column("low").combine_chunks().flatten())
+        n, _ = _longs(table.column("n").combine_chunks().flatten())
+        runs, _ = _longs(table.column("runs").combine_chunks().flatten())
+        torn = np.frombuffer(b"".join(table.column("torn").to_pylist()), bool)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        at = np.flatnonzero(new)
+        one = lambda x, t: pa.array([x], t)
+        longs = pa.list_(pa.int64())
+        return pa.table({"range": table.column("range")[:1], "keys": one(keys[at].tobytes(), pa.binary()), "low": one(_smallest(low[order], null[order], at).to_pylist(), longs), "n": one(np.add.reduceat(n[order], at), longs), "torn": one(np.logical_or.reduceat(torn[order], at).tobytes(), pa.binary()), "runs": one(np.add.reduceat(runs[order], at), longs), "run": table.column("run")[:1]})
+
+    level = runs.select("range", "keys", "low", "n", "torn", F.transform("n", lambda x: F.lit(1).cast("long")).alias("runs"), F.dense_rank().over(_by_run()).cast("long").alias("run"))
+    most = runs.groupBy("range").count().agg(F.max("count")).first()[0] or 0
+    while True:
+        level = level.withColumn("run", F.floor((F.col("run") - 1) / fan_in).cast("long")).groupBy("range", "run").applyInArrow(merge, "range int, keys binary, low array<long>, n array<long>, torn binary, runs array<long>, run long")
+        most = -(-most // fan_in)
+        if most <= 1:
+            return written(level.drop("run"), "index")
+        level = written(level.withColumn("run", F.col("run") + 1), "level")
+
+
+def _by_run():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("range").orderBy("run")
+
+
+def answered(docs: DataFrame, id_col: str, text_col: str, digest_bits: int = 256, memtable_rows: int = MEMTABLE_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+    """id, sha, keep_id and n of every row of docs: a written table without texts."""
+    narrow_batches(docs.sparkSession)
+    width = max(1, digest_bits // 8)
+    text = normalised(F.col(f"`{text_col}`").cast("string"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
+    ranges = min(1 << 16 if width > 1 else 256, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_ROWS)))
+    runs = written(flush_runs(rows, width, ranges, memtable_rows), "runs")
+    index = compact(runs, width, fan_in)
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The index's word on each row, and on the first row of a digest in each run whether its text has to be verified."""
+        keys = np.frombuffer(b"".join(right.column("keys").to_pylist()), f"V{width}")
+        low, null = _longs(right.column("low").combine_chunks().flatten())
+        n, _ = _longs(right.column("n").combine_chunks().flatten())
+        many, _ = _longs(right.column("runs").combine_chunks().flatten())
+        torn = np.frombuffer(b"".join(right.column("torn").to_pylist()), bool)
+        parts = []
+        for mine, ids, shas, place, first in zip(*[left.column(c).to_pylist() for c in ("keys", "ids", "shas", "place", "low")], strict=True):
+            at = np.searchsorted(keys, np.frombuffer(mine, f"V{width}"))
+            row = at[np.frombuffer(place, np.uint32)]
+            own = pa.array(ids, pa.int64())
+            lead = pc.equal(own, pa.array(first, pa.int64()).take(pa.array(np.frombuffer(place, np.uint32)))).fill_null(True)
+            ask = np.asarray(lead) & (many[row] > 1)
+            parts.append(pa.table({"id": own, "sha": pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(own), [None, pa.py_buffer(shas)]).cast(pa.binary()), "keep_id": pa.array(low[row], mask=null[row]), "n": pa.array(n[row]), "ask": pa.array(ask), "torn": pa.array(torn[row])}))
+        return pa.concat_tables(parts) if parts else pa.table({"id": pa.array([], pa.int64()), "sha": pa.array([], pa.binary()), "keep_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "ask": pa.array([], pa.bool_()), "torn": pa.array([], pa.bool_())})
+
+    told = written(runs.select("range", "keys", "low", "ids", "shas", "place").groupBy("range").cogroup(index.groupBy("range")).applyInArrow(answer, "id long, sha binary, keep_id long, n long, ask boolean, torn boolean"), "told")
+
+    # the first copies of the runs meet by digest; of each digest a task hands on its least and greatest text
+    ask = written(told.where("ask").select("id").distinct(), "ask")
+    key = F.substring("sha", 1, width)
+    same = only(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), "id", ask)
+    same = same.withColumn("text", normalised(F.col("text").cast("string"))).withColumn("sha", F.unhex(F.sha2("text", 256)))
+    wrong = same.groupBy(key.alias("_k")).agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least <> most").select("_k")
+    wrong = written(wrong.union(told.where("torn").select(key.alias("_k"))).distinct(), "collisions")
+    if wrong.isEmpty():
+        return told.select("id", "sha", "keep_id", "n")
+    # digests that hold different texts: those are told apart by the texts
+    good = told.join(wrong, key == F.col("_k"), "left_anti").select("id", "sha", "keep_id", "n")
+    torn = rows.join(wrong, key == F.col("_k"), "left_semi")
+    exact = torn.groupBy(F.col("text").alias("_t")).agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
+    return written(good.unionByName(torn.join(exact, F.col("text") == F.col("_t")).select("id", "sha", "keep_id", "n")), "told")
+
+
+def _attached(docs: DataFrame, told: DataFrame, id_col: str, text_col: str, but: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs (_row, _id, _sha), those that no filter lets pass and those that do; rows meet by id and digest."""
+    rows = docs.select(packed(docs, but).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    words = filter_words(told.count())
+    word, mask = bloom_word(F.col("_id"), words)
+    seen = F.broadcast(bloom(told, F.col("id"), words).withColumnsRenamed({"word": "_w", "bits": "_bits"}))  # bounded: see FILTER_WORDS
+    rows = rows.withColumns({"_word": word, "_mask": mask}).join(seen, F.col("_word") == F.col("_w"), "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
+    sha = F.unhex(F.sha2(normalised(F.col("_text")), 256))
+    part = lambda ok: rows.where(ok).select("_row", "_id", sha.alias("_sha"))
+    return part(~maybe), part(maybe)
 
 
-def repeated_filter(index: DataFrame) -> DataFrame:
-    """Filter over the digests of more than one row; its size is fixed, whatever the corpus holds."""
-    return bloom(index.where("n > 1"), F.col("digest"))
+_HOW = "(_id <=> id) AND _sha = sha"
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, memtable_rows: int = MEMTABLE_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """Every row of docs with keep_id, group_size, kept and text_sha256 (of the normalised text).
 
     Texts are equal when their normalised bytes are. Of equal texts the row with the smallest id stays; a null id
@@ -91,43 +208,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text) all count in group_size and all have kept true if their id is the smallest. Null text counts as empty.
     An empty table gives an empty result. Other columns of docs pass through; one named like a result column is
     replaced. ``digest_bits`` shortens the index's digests (for tests): hits are verified by the texts' bytes, so
-    that a collision never joins two texts.
+    that a collision never joins two texts. A row is held in memory with its text; a memtable holds one row more than
+    its bounds at most.
     """
-    text = normalised(F.col(f"`{text_col}`").cast("string"))
-    rows = docs.select(packed(docs, ("keep_id", "group_size", "kept", "text_sha256")).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), text.alias("_text"))
-    rows = rows.withColumn("_digest", F.unhex(F.sha2("_text", 256)))
-    rows = rows.withColumn("_key", F.col("_digest") if digest_bits >= 256 else F.substring("_digest", 1, max(1, digest_bits // 8)))
-    runs = written(flush_runs(rows.select(F.col("_key").alias("digest"), F.col("_id").alias("id")), memtable_rows), "runs")
-    index = written(compact(runs), "index")
-    hits = index.where("n > 1").select(F.col("digest").alias("_hit"), F.col("keep_id").alias("_low"), F.col("n").alias("_n"))
-    seen = F.broadcast(repeated_filter(index))  # bounded: see bloom
-    word, mask = bloom_word(F.col("_key"))
-    rows = rows.withColumns({"_word": word, "_mask": mask}).join(seen.withColumnsRenamed({"word": "_w", "bits": "_bits"}), F.col("_word") == F.col("_w"), "left")
-    maybe = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
-    own = ["_row.*", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256")]
-    alone = rows.where(~maybe).select(*own)
-
-    # the texts that pass the filter meet the index; those that it holds are verified against the kept row's text
-    probed = written(rows.where(maybe).select("_row", "_id", "_text", "_digest", "_key").join(hits, F.col("_key") == F.col("_hit"), "left").drop("_hit"), "probed")
-    missed = probed.where("_n is null").select(*own)
-    held = probed.where("_n is not null")
-    first = held.where(F.col("_id").eqNullSafe(F.col("_low"))).groupBy(F.col("_key").alias("_k")).agg(F.min("_text").alias("_first"))
-    held = held.join(first, F.col("_key") == F.col("_k")).withColumn("_same", F.col("_text") == F.col("_first")).drop("_first", "_k")
-    wrong = held.where("not _same").select(F.col("_key").alias("_k")).distinct()
-    result = ["_row.*", F.col("_low").alias("keep_id"), F.col("_n").alias("group_size"), F.col("_id").eqNullSafe(F.col("_low")).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256")]
-    if wrong.isEmpty():
-        return alone.unionByName(missed).unionByName(held.select(*result))
-    wrong = written(wrong, "collisions")
-    good = held.join(wrong, F.col("_key") == F.col("_k"), "left_anti").select(*result)
-    torn = held.drop("_low", "_n").join(wrong, F.col("_key") == F.col("_k"), "left_semi")
-    exact = torn.groupBy(F.col("_text").alias("_t")).agg(F.min("_id").alias("_low"), F.count("*").alias("_n"))
-    torn = torn.join(exact, F.col("_text") == F.col("_t")).select(*result)
-    return alone.unionByName(missed).unionByName(good).unionByName(torn)
+    told = answered(docs, id_col, text_col, digest_bits, memtable_rows, fan_in).where("n > 1").distinct()
+    alone, met = _attached(docs, told, id_col, text_col, RESULT)
+    own = [F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256")]
+    met = met.join(told.withColumn("_hit", F.lit(True)), F.expr(_HOW), "left")
+    keep = F.when(F.col("_hit"), F.col("keep_id")).otherwise(F.col("_id"))
+    found = [keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256")]
+    return alone.select("_row.*", *own).unionByName(met.select("_row.*", *found))
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay (see ``exact_dedup``), with all their columns as they are."""
+    gone = answered(docs, id_col, text_col).where("not (id <=> keep_id)").distinct()
+    alone, met = _attached(docs, gone, id_col, text_col, ())
+    return alone.select("_row.*").unionByName(met.join(gone, F.expr(_HOW), "left_anti").select("_row.*"))
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    told = answered(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return told.select(F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 OP8_SQL = r"""

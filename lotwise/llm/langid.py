@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunk, narrow_batches, packed
+from .common import buffers, chunk, narrow_batches, packed, spans
 
 #: Subwords are byte n-grams of these orders over lower-cased text in which all but letters is a blank.
 ORDERS, BITS, DIM = (2, 3, 4), 16, 16
@@ -61,21 +61,12 @@ def subwords(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np
             yield ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS), whole & ~empty
 
 
-def _spans(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most ``most`` bytes together; a longer text stands alone."""
-    i, n = 0, len(off) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
-
-
 def predict_arrays(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Index of the best language and its calibrated probability for each text (-1 and 0 where there is no subword)."""
     data, off = buffers(texts)
     table = (model.embed @ model.weight if len(model.langs) <= DIM else model.embed).T.astype(np.float32).copy()
     best, score = np.full(len(texts), -1), np.zeros(len(texts))
-    for i, j in _spans(off, CHUNK):
+    for i, j in spans(off, CHUNK):
         part, cut = data[off[i] : off[j]], off[i : j + 1] - off[i]
         rows = np.flatnonzero(np.diff(cut) > 0)
         if not len(rows):
@@ -189,6 +180,16 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     ``accepted`` is false as well where the calibrated probability is below the model's threshold. Columns of docs with
     one of the three names are replaced, others pass through. Empty tables give empty results, repeated rows the same.
     """
+    return told(docs, model, text_col, ("lang_pred", "score", "accepted")).select("_row.*", "lang_pred", "score", "accepted")
+
+
+def accepted_rows(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs of which the language is accepted (see ``identify``), with all their columns as they are."""
+    return told(docs, model, text_col, ()).where("accepted").select("_row.*")
+
+
+def told(docs: DataFrame, model: Model | None, text_col: str, but: tuple[str, ...]) -> DataFrame:
+    """_row (the columns of docs but those named), lang_pred, score and accepted."""
     narrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2**BITS x DIM floats and LANGUAGES columns
 
@@ -207,11 +208,11 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     text = F.col(f"`{text_col}`")
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(packed(docs, ("lang_pred", "score", "accepted")).alias("_row"), tell(text).alias("_told"), letters.alias("_letters"))
-    return rows.select("_row.*", F.when(F.col("_letters"), F.col("_told.lang")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("_letters"), F.col("_told.score")).otherwise(0.0).alias("score"), (F.col("_letters") & F.col("_told.accepted")).alias("accepted"))
+    rows = docs.select(packed(docs, but).alias("_row"), tell(text).alias("_told"), letters.alias("_letters"))
+    return rows.select("_row", F.when(F.col("_letters"), F.col("_told.lang")).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("_letters"), F.col("_told.score")).otherwise(0.0).alias("score"), (F.col("_letters") & F.col("_told.accepted")).alias("accepted"))
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    told = identify(docs.select("doc_id", "text"), fit(docs))
-    return told.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+    found = identify(docs.select("doc_id", "text"), fit(docs))
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, mix, narrow_batches, prefix_hash, span_hash
+from .common import U64, buffers, mix, narrow_batches, prefix_hash, span_hash, spans
 
 #: Where the vocabulary lies; a parameter of every function that needs it.
 MODEL_PATH = os.environ.get("LOTWISE_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
@@ -245,14 +245,6 @@ def detokenise(v: Pieces, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarra
     return out[keep], cut - np.concatenate([[0], np.cumsum(full)])
 
 
-def _parts(off: np.ndarray) -> Iterator[tuple[int, int]]:
-    i, n = 0, len(off) - 1
-    while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, "right")) - 1))
-        yield i, j
-        i = j
-
-
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL_PATH, theta: float = THETA, seed: int = SEED, digest: bool = False) -> DataFrame:
     """id and pieces (array<int>) of each row: a segmentation sampled with the row's id as seed. With ``digest`` also
     text_sha256, the SHA-256 (hex) of the text that the pieces decode to, in the same pass.
@@ -267,7 +259,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
         v = pieces(path, theta)
         for b in batches:
             data, off = buffers(b.column(1))
-            for i, j in _parts(off):
+            for i, j in spans(off, CHUNK):
                 keys = b.column(0).slice(i, j - i)
                 ids, n = sample(v, data[off[i] : off[j]], off[i : j + 1] - off[i], row_seed(keys.to_pylist(), seed))
                 null = np.asarray(b.column(1).slice(i, j - i).is_null())

@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fragments, narrow_batches, scratch, written
+from .common import narrow_batches, scratch, written
 
 #: Payloads of at least so many bytes are written once; an archive is closed at ARCHIVE_BYTES.
 MIN_BYTES, ARCHIVE_BYTES, CHUNK = 0, 1 << 30, 1 << 16
@@ -28,6 +28,19 @@ MANIFEST = "path string, records long, bytes long"
 RECORD = "path string, at long, page_id long, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to long, verified boolean, payload binary"
 
 
+#: Rows of one payload are dealt to so many parts where they meet its response.
+SALTS = 32
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system and path of a URI; schemes that only Hadoop's clients have are said by Arrow's names."""
+    scheme, _, rest = uri.partition("://")
+    try:
+        return fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}://{rest}")
+    except pa.ArrowInvalid as error:
+        raise ValueError(f"archives are written through Arrow, which has no file system for {scheme}://; set spark.checkpoint.dir to a folder that it can open") from error
+
+
 def digest32(data: bytes) -> str:
     """Bare upper-case base32 SHA-1."""
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
@@ -65,15 +78,18 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     narrow_batches(spark)
     base = scratch(spark, "warc")
+    opened(base)  # fails here rather than in a task
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("k", F.when(F.octet_length("payload") >= min_bytes, F.unhex(F.sha2("payload", 256))))
     twins = written(rows.where("k is not null").groupBy(F.col("k").alias("k2")).agg(F.count("*").alias("n"), F.max("id").alias("top")).where("n > 1").drop("n"), "twins")
-    rows = rows.join(twins, rows["k"] == twins["k2"], "left").select("id", "url", F.col("payload").cast("binary"), "top", (F.col("k2").isNotNull() & ~F.col("id").eqNullSafe(F.col("top"))).alias("revisit"))
+    salt = F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")
+    twins = twins.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", salt).join(twins, (F.col("k") == F.col("k2")) & (F.col("salt") == F.col("part")), "left").select("id", "url", F.col("payload").cast("binary"), "top", (F.col("k2").isNotNull() & ~F.col("id").eqNullSafe(F.col("top"))).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        store, root = fs.FileSystem.from_uri(base)
+        store, root = opened(base)
         store.create_dir(root, recursive=True)
         part, out, name, n, size, done = TaskContext.get().partitionId(), None, "", 0, 0, []
         for b in batches:
@@ -148,7 +164,7 @@ def read_warc(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
-                store, name = fs.FileSystem.from_uri(path)
+                store, name = opened(path)
                 with store.open_input_stream(name) as stream:
                     rows, held = [], 0
                     for at, content in members(stream):
@@ -168,7 +184,7 @@ def read_warc(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     def batch(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], names=list(kinds))
 
-    return manifest.select("path").repartition(fragments(spark), "path").mapInArrow(run, RECORD)
+    return manifest.select("path").repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path").mapInArrow(run, RECORD)
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:

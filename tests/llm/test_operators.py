@@ -107,14 +107,21 @@ def test_repeat_removal_against_brute_force(spark):
     base = "".join(r.choice("abcdefgh \né") for _ in range(2500))
     texts = [None, "", "a" * 3000, "ab" * 400, base, base[100:1500] + "x" + base[1500:], base[:399], base[:400], base[:401], base[2000:2400] * 2, "z" + base[5:500]]
     ids = [None, *range(1, len(texts))]
-    for length in (400, 64):
-        got = {x.doc_id: x for x in repeat_removal.remove_repeats(documents(spark, texts, ids), length=length, texts=True).collect()}
+    for length, hot in ((400, repeat_removal.HOT), (64, repeat_removal.HOT), (400, 3)):  # 3: strings of frequent anchors are counted
+        got = {x.doc_id: x for x in repeat_removal.remove_repeats(documents(spark, texts, ids), length=length, texts=True, hot=hot).collect()}
         want = repeat_removal.removed_by_force([None if t is None else t.encode() for t in texts], length)
         assert {i: (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in ids} == dict(zip(ids, want, strict=True))
         assert all(hashlib.sha256(bytes(x.kept)).hexdigest() == x.kept_sha256 for x in got.values())
     assert repeat_removal.remove_repeats(documents(spark, []).limit(0)).count() == 0
 
 
+def test_repeat_removal_of_a_whole_table_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    want = repeat_removal.removed_by_force([None if d.text is None else d.text.encode() for d in docs])
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in registry.QUERIES["op10_repeat_removal"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == dict(zip([d.doc_id for d in docs], want, strict=True))
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = registry.QUERIES["op3_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
