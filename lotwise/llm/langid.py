@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunk, narrow_batches, packed, spans
+from .common import buffers, chunk, narrow_batches, packed, spans, written
 
 #: Subwords are byte n-grams of these orders over lower-cased text in which all but letters is a blank.
 ORDERS, BITS, DIM = (2, 3, 4), 16, 16
 #: Bounds of the sample that the model is fitted on: documents of a language, and languages (the most frequent).
 PER_LANGUAGE, LANGUAGES = 400, 200
+#: Features (bucket and share of a text, 8 bytes each) that the driver holds, at most: the first texts of every language,
+#: then the second ones, and so on, as far as they fit.
+FEATURES = 32 << 20
 EPOCHS, RATE, BATCH_DOCS, SEED = 30, 2.0, 32, 5
 #: Share of documents of known language that may be rejected, and the most that a threshold may ask for.
 REJECT_SHARE, MOST = 0.001, 0.5
@@ -129,7 +132,8 @@ def held_out(id_: Column) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """Model from the documents that are not held out and have a language: a sample by hash of at most
-    ``per_language`` for each of the LANGUAGES most frequent languages, whole texts each. Null without any."""
+    ``per_language`` for each of the LANGUAGES most frequent languages, whole texts each, within FEATURES. Null without
+    any."""
     spark = docs.sparkSession
     narrow_batches(spark)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out(F.col(id_col)), F.lit(False)))
@@ -164,7 +168,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     from pyspark.sql import Window
 
     top = near.select("lang", "text", "k").withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("k"))).where(F.col("_n") <= per_language).select("lang", "text", "k")
-    got = top.mapInArrow(features, "lang string, k long, at array<int>, share array<float>").toArrow()
+    found = written(top.mapInArrow(features, "lang string, k long, at array<int>, share array<float>"), "features")
+    # per_language x LANGUAGES rows at most: their sizes, added up in rounds over the languages
+    sizes = found.select("lang", "k", F.size("at").alias("size")).withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("k")))
+    fits = sizes.withColumn("sum", F.sum("size").over(Window.orderBy("_n", "lang"))).where(F.col("sum") <= FEATURES).select("lang", "k")
+    got = found.join(F.broadcast(fits), ["lang", "k"]).toArrow()  # bounded rows
     langs, keys = got.column(0).to_pylist(), got.column(1).to_pylist()
     at, share = chunk(got.column(2)), chunk(got.column(3))
     cut = np.concatenate([[0], np.cumsum(np.asarray(at.value_lengths(), np.int64))]) if len(langs) else [0]

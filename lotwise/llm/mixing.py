@@ -6,6 +6,8 @@ iteration, so its cost does not depend on the number of documents.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,9 @@ from .common import checkpointed, written
 FLATTEN = {"source": 0.7, "lang": 0.5, "topic": 0.8}
 #: Expected share of all tokens that the sample holds.
 BUDGET = 0.8
-TOLERANCE, SWEEPS, ROUNDS, SEED = 1e-8, 20, 20, "mix-1"
+TOLERANCE, SWEEPS, ROUNDS, SEED = 1e-8, 40, 20, "mix-1"
+#: Sweeps of one job, after which the deviation is read.
+STEP = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -45,24 +49,26 @@ def rake(cells: DataFrame, marginals: dict[str, DataFrame], tolerance: float = T
     """Cells with a ``w`` that sums to the target of every value of every dimension.
 
     Starts from the shares of tokens and scales one dimension after another until no sum is off by more than
-    ``tolerance`` of its target, or after ``sweeps``. The windows run over cells only: targets that contradict empty cells are met as far as they can be.
-    Values that a marginal does not list keep no weight.
+    ``tolerance`` of its target; a warning says what is left if that is not so after ``sweeps``, as where targets
+    contradict empty cells. The windows run over cells only. Values that a marginal does not list keep no weight.
     """
     total = cells.agg(F.sum("tokens").cast("double").alias("all"))
     dims = list(marginals)
     cells = cells.where("tokens > 0").crossJoin(F.broadcast(total)).select(*cells.columns, (F.col("tokens") / F.col("all")).alias("w"))
     for dim, target in marginals.items():
         cells = cells.join(target.select(F.col(dim), F.col("target").alias(f"_t_{dim}")), dim, "left").fillna(0.0, [f"_t_{dim}"])
-    cells = checkpointed(cells.coalesce(8))
-    for _ in range(sweeps):
-        step = cells
-        for dim in dims:
-            now = F.sum("w").over(Window.partitionBy(dim))
-            step = step.withColumn("_f", F.when(now > 0, F.col(f"_t_{dim}") / now).otherwise(0.0)).withColumn("w", F.col("w") * F.col("_f")).withColumn(f"_off_{dim}", F.when(now > 0, F.abs(F.col("_f") - 1)).otherwise(0.0))
-        cells = checkpointed(step.drop("_f"))
+    cells, worst = checkpointed(cells), None
+    for _ in range(0, sweeps, STEP):
+        for _ in range(STEP):
+            for dim in dims:
+                now = F.sum("w").over(Window.partitionBy(dim))
+                cells = cells.withColumn("_f", F.when(now > 0, F.col(f"_t_{dim}") / now).otherwise(0.0)).withColumn(f"_off_{dim}", F.when(now > 0, F.abs(F.col("_f") - 1)).otherwise(0.0)).withColumn("w", F.col("w") * F.col("_f"))
+        cells = checkpointed(cells.drop("_f"))
         worst = cells.agg(F.greatest(*[F.max(f"_off_{dim}") for dim in dims])).first()[0]
         if worst is None or worst <= tolerance:
             break
+    else:
+        warnings.warn(f"after {sweeps} sweeps a marginal is off by {worst:.3g} of its target", stacklevel=2)
     return cells.drop(*[f"{k}_{dim}" for dim in dims for k in ("_t", "_off")])
 
 
@@ -110,12 +116,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic_c
     not read.
     """
     rows = written(features(docs, id_col, text_col, topic_col), "features")
-    cells = written(rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).coalesce(8), "cells")
+    cells = written(rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "cells")
     goals = marginals or {dim: targets(cells, dim, power) for dim, power in (flatten or FLATTEN).items()}
     raked = calibrate(rake(cells, goals, sweeps=sweeps), budget)
     total = raked.agg(F.sum("tokens").alias("_all"))
     raked = raked.crossJoin(F.broadcast(total)).select("source", "lang", "topic", (F.col("w") / F.col("tokens") * F.col("_all")).alias("weight"), "p")
-    raked = written(raked.coalesce(8), "weights")
+    raked = written(raked, "weights")
     out = rows.join(raked, ["source", "lang", "topic"], "left")
     p = F.when(F.col("tokens") == 0, 1.0).otherwise(F.coalesce("p", F.lit(0.0)))
     weight = F.when(F.col("tokens") == 0, 0.0).otherwise(F.coalesce("weight", F.lit(0.0)))

@@ -68,6 +68,8 @@ class Pieces:
         data = np.frombuffer(b"".join(keys), np.uint8)
         cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
         h = self.hash(prefix_hash(data), cut[:-1], cut[1:])
+        if len(np.unique(h)) < len(h):
+            raise ValueError("two pieces have one hash")
         self.slots = np.full((1 << _SLOTS) + 64, 0, np.uint64)
         self.ids = np.full((1 << _SLOTS) + 64, -1, np.int32)
         for x, i in zip(h.tolist(), known.values(), strict=True):
@@ -119,8 +121,11 @@ def lattice(v: Pieces, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
         if not len(alive):
             break
         hit, found = v.find(v.hash(c, alive, alive + k))
-        has = found >= 0
-        if has.any():
+        has = np.flatnonzero(found >= 0)
+        if len(has):  # a hash finds a piece, its bytes decide
+            j = np.arange(k)
+            same = (v.blob[v.off[found[has]][:, None] + j] == data[alive[has][:, None] + j]).all(axis=1)
+            has = has[same]
             width = k
             ids[alive[has] + k - 1, k - 1] = found[has]
         alive = alive[hit]
@@ -251,7 +256,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     The same id, text, seed and model always give the same pieces, whatever the partitions. Null text gives null,
     empty text an empty array. Repeated rows get the same result; a null id is a key like any other. Other columns
-    are not read. A text is cut at its spaces, never shortened.
+    are not read. A text is cut at its spaces, never shortened. Equal segments of a batch share one lattice, which
+    holds some 12 bytes for each byte and length of piece: a text without any space is one lattice as a whole.
     """
     narrow_batches(docs.sparkSession)
 
@@ -278,7 +284,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", pieces_col: str = "pieces", path: str = MODEL_PATH) -> DataFrame:
-    """id and text of each row of pieces; null pieces give null."""
+    """id and text of each row of pieces, byte for byte what was encoded.
+
+    Null pieces give null, no pieces the empty text. Repeated rows give the same text, a null id is passed on. Empty
+    tables give empty results; other columns are not read.
+    """
     narrow_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

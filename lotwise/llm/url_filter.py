@@ -19,6 +19,8 @@ RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 SAMPLE_ROWS = 20_000
 #: Labelled URLs' worth of the prior in a suffix's rate; parts that the rows of a suffix are dealt to where its statistics are joined by a shuffle.
 SMOOTH, SALTS = 20.0, 16
+#: The rate of a suffix that a fitted URL sees comes from the URLs of the other folds.
+FOLDS = 5
 TREES, DEPTH, THRESHOLD, SEED = 10, 3, 0.5, 7
 FEATURES = ["len_url", "len_host", "len_path", "depth", "labels", "digit_ratio", "hyphens", "entropy", "params", "fragment", "suffix_rate", "suffix_n"]
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -59,46 +61,69 @@ def lexical(url: Column, h: Column, p: Column) -> dict[str, Column]:
     }
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str]] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Per row of pages: id, host, path, rule, verdict and score (the trees' probability of block).
-
-    The verdict is the rule's, else block if the score reaches THRESHOLD, else allow. The URLs that a rule decides
-    are the labelled ones: suffix statistics cover all of them, the trees a sample of at most ``sample_rows`` distinct
-    URLs. With no labelled URL every score is 0; with labels of one kind only, every score says that one. Null URLs
-    and those without ``://`` have empty host and path and are judged by the trees. Repeated rows get the same
-    result; an empty table gives an empty one. Other columns of pages are not read.
-    """
-    spark = pages.sparkSession
-    shared_dir(spark)
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"))
+def described(pages: DataFrame, id_col: str, url_col: str, rules: list[tuple[str, str]]) -> DataFrame:
+    """URLs with host, path, rule, the rule's verdict (_says, _y) and lexical features, as a written table."""
+    rows = pages.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url_col}`").cast("string").alias("_url"))
     rows = rows.withColumns({"host": host(F.col("_url")), "path": path(F.col("_url"))})
     rule, says = matched_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "_says": says} | lexical(F.col("_url"), F.col("host"), F.col("path")))
-    rows = rows.withColumns({"_suffix": F.substring_index("host", ".", -1), "_y": (F.col("_says") == "block").cast("double")})
-    rows = written(rows, "urls")
-    known = rows.where("_says is not null")
-    by_suffix = written(known.groupBy("_suffix").agg(F.count("*").cast("double").alias("n"), F.sum("_y").alias("y")), "suffixes")
-    total = by_suffix.agg(F.sum("n").alias("n"), F.sum("y").alias("y")).first()
-    n, y = total["n"] or 0.0, total["y"] or 0.0
+    rows = rows.withColumns({"_suffix": F.substring_index("host", ".", -1), "_y": (F.col("_says") == "block").cast("double"), "_fold": F.pmod(F.xxhash64("_url"), F.lit(FOLDS)).cast("int")})
+    return written(rows, "urls")
+
+
+def with_scores(rows: DataFrame, known: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """rows with ``score``, the probability of block by trees that are fitted on ``known``, rows with a verdict."""
+    in_fold = lambda c: F.array(*[F.coalesce(F.sum(F.when(F.col("_fold") == k, c)), F.lit(0.0)) for k in range(FOLDS)])
+    by_suffix = written(known.groupBy("_suffix").agg(in_fold(F.lit(1.0)).alias("n"), in_fold(F.col("_y")).alias("y")), "suffixes")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    row = by_suffix.agg(F.sum(total(F.col("n"))).alias("n"), F.sum(total(F.col("y"))).alias("y")).first()
+    n, y = row["n"] or 0.0, row["y"] or 0.0
     prior = y / n if n else 0.0
     if not n or y in (0.0, n):
-        score = F.lit(1.0 if n and y else 0.0)
-        scored = rows.withColumn("score", score)
-    else:
-        stats = by_suffix.select(F.col("_suffix").alias("_s"), ((F.col("y") + SMOOTH * prior) / (F.col("n") + SMOOTH)).alias("_r"), (F.col("n") / n).alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
-        salt = F.pmod(F.xxhash64("_id", "_url"), F.lit(SALTS)).cast("int")
-        full = lambda d: d.withColumn("_salt", salt).join(stats, (F.col("_suffix") == F.col("_s")) & (F.col("_salt") == F.col("_part")), "left").withColumns({"suffix_rate": F.coalesce("_r", F.lit(prior)), "suffix_n": F.coalesce("_c", F.lit(0.0))}).drop("_s", "_r", "_c", "_salt", "_part")
-        sample = known.dropDuplicates(["_url"]).orderBy(F.xxhash64("_url"), "_url").limit(sample_rows)
-        assembler = VectorAssembler(inputCols=FEATURES, outputCol="_x")
-        fitted = written(full(sample).select("_y", *FEATURES), "urls-fit").coalesce(4)
-        if fitted.agg(F.count_distinct("_y")).first()[0] < 2:
-            scored = rows.withColumn("score", F.lit(prior))
-        else:
-            model = GBTClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=TREES, maxDepth=DEPTH, seed=SEED).setProbabilityCol("_q").setRawPredictionCol("_raw").fit(assembler.transform(fitted))
-            scored = model.transform(assembler.transform(full(rows))).withColumn("score", vector_to_array("_q")[1])
+        return rows.withColumn("score", F.lit(1.0 if n and y else 0.0))
+    stats = by_suffix.select(F.col("_suffix").alias("_s"), F.col("n").alias("_n"), F.col("y").alias("_yes"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_part"))
+    salt = F.pmod(F.xxhash64("_id", "_url"), F.lit(SALTS)).cast("int")
+
+    def full(d: DataFrame, fitted: bool) -> DataFrame:
+        d = d.withColumn("_salt", salt).join(stats, (F.col("_suffix") == F.col("_s")) & (F.col("_salt") == F.col("_part")), "left")
+        own = lambda c: F.element_at(c, F.col("_fold") + 1) if fitted else F.lit(0.0)
+        rate = (total(F.col("_yes")) - own(F.col("_yes")) + SMOOTH * prior) / (total(F.col("_n")) - own(F.col("_n")) + SMOOTH)
+        return d.withColumns({"suffix_rate": F.coalesce(rate, F.lit(prior)), "suffix_n": F.coalesce(total(F.col("_n")) / n, F.lit(0.0))}).drop("_s", "_n", "_yes", "_salt", "_part")
+
+    sample = known.dropDuplicates(["_url"]).orderBy(F.xxhash64("_url"), "_url").limit(sample_rows)
+    assembler = VectorAssembler(inputCols=FEATURES, outputCol="_x")
+    fitted = written(full(sample, True).select("_y", *FEATURES), "urls-fit").coalesce(4)
+    if fitted.agg(F.count_distinct("_y")).first()[0] < 2:
+        return rows.withColumn("score", F.lit(prior))
+    model = GBTClassifier(featuresCol="_x", labelCol="_y", predictionCol="_p", maxIter=TREES, maxDepth=DEPTH, seed=SEED).setProbabilityCol("_q").setRawPredictionCol("_raw").fit(assembler.transform(fitted))
+    return model.transform(assembler.transform(full(rows, False))).withColumn("score", vector_to_array("_q")[1])
+
+
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str]] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Per row of pages: id, host, path, rule, verdict and score (the trees' probability of block).
+
+    The verdict is the rule's, else block if the score reaches THRESHOLD, else allow. The URLs that a rule decides
+    are the labelled ones: suffix statistics cover all of them (those of the other folds where a URL is fitted on),
+    the trees a sample of at most ``sample_rows`` distinct URLs. With no labelled URL every score is 0; with labels of
+    one kind only, every score says that one. Null URLs and those without ``://`` have empty host and path and are
+    judged by the trees. Repeated rows get the same result; an empty table gives an empty one. Other columns of pages
+    are not read.
+    """
+    shared_dir(pages.sparkSession)
+    rows = described(pages, id_col, url_col, rules)
+    scored = with_scores(rows, rows.where("_says is not null"), sample_rows)
     verdict = F.coalesce("_says", F.when(F.col("score") >= THRESHOLD, "block").otherwise("allow"))
     return scored.select(F.col("_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), F.round("score", 9).alias("score"))
 
 
+def held_out_figures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[tuple[str, str]] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """urls, blocked, precision, recall and accuracy of the trees on the labelled URLs of one fold, fitted on the others."""
+    shared_dir(pages.sparkSession)
+    known = described(pages, id_col, url_col, rules).where("_says is not null")
+    told = with_scores(known.where("_fold = 0"), known.where("_fold <> 0"), sample_rows).select("_y", (F.col("score") >= THRESHOLD).cast("double").alias("p"))
+    hit = F.sum(F.col("_y") * F.col("p"))
+    return told.agg(F.count("*").alias("urls"), F.sum("_y").alias("blocked"), (hit / F.sum("p")).alias("precision"), (hit / F.sum("_y")).alias("recall"), F.avg((F.col("_y") == F.col("p")).cast("double")).alias("accuracy"))
+
+
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))

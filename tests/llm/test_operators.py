@@ -27,6 +27,15 @@ def documents(spark, texts, ids=None):
 TEXTS = [None, "", "   ", "one", "One", "a b c d e f g", "a b c d e f g", "A  b c d e f g", "x " * 40_000, "12 34", "é" * 900, None]
 
 
+def test_exact_dedup_of_repeated_rows(spark):
+    docs = documents(spark, ["a", "a", "b", "a b", "a  b", None, ""], [3, 3, 3, None, 7, None, None])
+    got = sorted((str(r.doc_id), r.text or "", str(r.keep_id), r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, fan_in=2, memtable_rows=1).collect())
+    want = [("3", "a", "3", 2, True), ("3", "a", "3", 2, True), ("3", "b", "3", 1, True), ("None", "a b", "7", 2, False), ("7", "a  b", "7", 2, True), ("None", "", "None", 2, True), ("None", "", "None", 2, True)]
+    assert got == sorted(want)
+    kept = exact_dedup.kept_rows(docs)
+    assert kept.columns == docs.columns and kept.count() == 6 and exact_dedup.kept_rows(docs.limit(0)).count() == 0
+
+
 def test_exact_dedup(spark):
     got = {r.doc_id: r for r in exact_dedup.exact_dedup(documents(spark, TEXTS)).collect()}
     assert len(got) == len(TEXTS)
@@ -135,6 +144,44 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(documents(spark, TEXTS), None).collect()} == {"und"}
 
 
+def test_language_id_against_sums_of_one_text():
+    """The vectorised prediction against a loop over the bytes of each text."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    model = langid.Model(["a", "b", "c"], r.normal(size=(1 << langid.BITS, langid.DIM)).astype(np.float32), r.normal(size=(langid.DIM, 3)), r.normal(size=3), 1.7)
+    texts = ["Ab cd!", "éa  zz", "x", "word " * 50, "12 3", ""]
+    best, score = langid.predict_arrays(model, pa.array(texts, pa.large_string()))
+    for t, i, p in zip(texts, best, score, strict=True):
+        x = [langid._FOLD[c] for c in t.encode()]
+        total, n = np.zeros(langid.DIM), 0
+        for k in langid.ORDERS:
+            for s in range(len(x) - k + 1):
+                if all(c == 0x20 for c in x[s : s + k]):
+                    continue
+                h = int(x[s]) * int(langid._MULT[0]) % 2**32
+                for j in range(1, k):
+                    h = (h + (int(x[s + j]) + j) * int(langid._MULT[j])) % 2**32
+                h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32 >> 32 - langid.BITS
+                total, n = total + model.embed[h], n + 1
+        if not n:
+            assert i == -1 and p == 0
+            continue
+        z = (total / n @ model.weight + model.bias) / model.heat
+        z = np.exp(z - z.max())
+        assert i == z.argmax() and abs(p - (z / z.sum()).max()) < 1e-4
+
+
+def test_language_id_edges(spark):
+    docs = documents(spark, [*TEXTS, "ein Satz " * 9], [None, 1, 1, *range(3, len(TEXTS) + 1)]).withColumn("lang", F.lit("de"))
+    model = langid.fit(docs)
+    assert langid.identify(docs, model).count() == len(TEXTS) + 1 and langid.identify(docs.limit(0), model).count() == 0
+    assert langid.fit(docs.limit(0)) is None
+    same = langid.accepted_rows(docs, model)
+    assert same.columns == docs.columns and {r.score for r in same.collect()} <= {"clash"}
+
+
 def test_sentencepiece_round_trip(spark):
     texts = [*TEXTS, "▁▁ mixed ▁ spaces  and\ttabs\n", " lead", "中文 und Wörter 🙂", "<unk></s>"]
     enc = sentencepiece_sampling.encode(documents(spark, texts), digest=True).cache()
@@ -148,6 +195,43 @@ def test_sentencepiece_round_trip(spark):
     assert {r.doc_id: r.pieces for r in other.collect()} != {r.doc_id: r.pieces for r in enc.collect()}
 
 
+def test_sentencepiece_samples_by_the_weights_of_all_segmentations():
+    """A word of which every segmentation is written out, against the shares of many draws."""
+    import numpy as np
+
+    v = sentencepiece_sampling.pieces()
+    known = {bytes(v.blob[v.off[i] : v.off[i + 1]]): i for i in range(v.size) if np.isfinite(v.weight[i]) and v.off[i + 1] > v.off[i] and i not in set(v.byte_id.tolist())}
+
+    def all_of(rest):
+        if not rest:
+            yield ()
+        for k in range(1, len(rest) + 1):
+            if rest[:k] in known:
+                for more in all_of(rest[k:]):
+                    yield (known[rest[:k]], *more)
+
+    for word in (b"lower", b"a b"):
+        ways = list(all_of(b" " + word)) if b" " not in word else [x + y for x in all_of(b" a") for y in all_of(b" b")]
+        weight = np.array([np.exp(sum(v.weight[i] for i in way)) for way in ways])
+        draws = 20_000
+        ids, n = sentencepiece_sampling.sample(v, np.frombuffer(word * draws, np.uint8), np.arange(draws + 1) * len(word), sentencepiece_sampling.row_seed(list(range(draws))))
+        cut = np.concatenate([[0], np.cumsum(n)])
+        seen = {}
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            way = tuple(ids[x:y].tolist())
+            seen[way] = seen.get(way, 0) + 1 / draws
+        assert set(seen) <= set(ways)
+        assert max(abs(seen.get(way, 0) - p) for way, p in zip(ways, weight / weight.sum(), strict=True)) < 0.015
+
+
+def test_sentencepiece_of_a_long_text_without_spaces(spark):
+    text = "abcdefghij" * 200_000
+    docs = spark.createDataFrame([(1, text), (1, text), (None, "x")], "doc_id long, text string")
+    rows = sentencepiece_sampling.encode(docs, digest=True).collect()
+    assert [r.text_sha256 for r in rows if r.doc_id == 1] == [hashlib.sha256(text.encode()).hexdigest()] * 2 and len(rows) == 3
+    assert sentencepiece_sampling.encode(docs.limit(0)).count() == 0
+
+
 def test_mixing(spark):
     docs = documents(spark, [*TEXTS, *["w " * 60] * 50])
     got = {r.doc_id: r for r in mixing.mix(docs).collect()}
@@ -213,6 +297,27 @@ def test_url_trees_learn_from_the_labelled_urls(spark):
     assert len(told) == 100 and sum((v == "block") == (i < 350) for i, v in told.items()) >= 95
 
 
+def test_url_trees_on_a_held_out_fold(spark):
+    r = random.Random(8)
+    bad = lambda h: f"http://{h}/" + "/".join(str(r.randrange(10**9)) for _ in range(5)) + "?a=1&b=2"
+    good = lambda h: f"http://{h}/" + "".join(r.choice("abcdefgh") for _ in range(6))
+    urls = [bad("bad.info") for _ in range(400)] + [good("good.info") for _ in range(400)]
+    got = url_filter.held_out_figures(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=[("bad.info/", "block"), ("good.info/", "allow")]).first()
+    assert got.urls > 100 and got.precision > 0.95 and got.recall > 0.95
+
+
+def test_url_filter_query_against_plain_rules(spark):
+    """Host, path, rule and the rule's verdict of every URL of the table; labelled URLs of a held-out fold are told by the trees."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r.page_id: r for r in registry.QUERIES["op6_url_filter"](spark, "/root/testdata/sf0.01").collect()}
+    for p in pages:
+        h, path = host_path(p.url)
+        fits = [(len(x), x, v) for x, v in url_filter.RULES if (h == x.split("/")[0] or h.endswith("." + x.split("/")[0])) and path.startswith("/" + x.split("/", 1)[1])]
+        rule, says = max(fits)[1:] if fits else (None, None)
+        assert (got[p.page_id].host, got[p.page_id].path, got[p.page_id].rule) == (h, path, rule)
+        assert got[p.page_id].verdict == (says or ("block" if got[p.page_id].score >= url_filter.THRESHOLD else "allow"))
+
+
 def test_url_trees_know_rare_suffixes(spark):
     """Ten suffixes with less than a thousandth of the labelled URLs each; nothing but the suffix tells the verdict."""
     r = random.Random(6)
@@ -239,6 +344,20 @@ def test_chat_format(spark):
     assert chat_format.format_chats(turns.limit(0)).count() == 0
 
 
+def test_pipeline_stages_pass_foreign_columns_and_odd_rows(spark):
+    import corpus_pipeline
+
+    texts = [*TEXTS, *["ein langer Satz über Wörter und Sachen %d" % (i % 3) for i in range(30)]]
+    ids = [None, 1, 1, *range(3, len(texts))]
+    docs = documents(spark, texts, ids).withColumn("lang", F.lit("de"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert {(r.score, r.kept, r["a.b"]) for r in out.collect()} <= {("clash", "clash", "clash")}, name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(texts)
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 
