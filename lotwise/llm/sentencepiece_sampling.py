@@ -64,6 +64,11 @@ class Pieces:
                 known.setdefault(raw[i][:k], -1)
             known[raw[i]] = i
         self.longest = max(len(raw[i]) for i in plain)
+        # the bytes of each piece, eight to a number
+        padded = np.zeros((self.size, -(-self.longest // 8) * 8), np.uint8)
+        for i in plain:
+            padded[i, : len(raw[i])] = np.frombuffer(raw[i], np.uint8)
+        self.words = np.ascontiguousarray(padded.view("<u8").T)
         keys = list(known)
         data = np.frombuffer(b"".join(keys), np.uint8)
         cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
@@ -99,6 +104,16 @@ class Pieces:
         return hit, ids
 
 
+def eights(data: np.ndarray, more: int) -> np.ndarray:
+    """The eight bytes from each place on as a number, with ``more`` zeros behind the data."""
+    padded = np.concatenate([data, np.zeros(more + 16 - (len(data) + more) % 8, np.uint8)])
+    out = np.empty(len(padded) - 8, np.uint64)
+    for k in range(8):
+        part = padded[k : k + (len(padded) - 8) // 8 * 8].view("<u8")
+        out[k::8] = part[: len(out[k::8])]
+    return out
+
+
 _LOADED: dict[tuple, Pieces] = {}
 
 
@@ -114,6 +129,7 @@ def lattice(v: Pieces, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
     seg = np.repeat(np.arange(len(off) - 1), np.diff(off))
     room = off[1:][seg] - np.arange(n)  # bytes left in the segment from each start
     c = prefix_hash(data)
+    eight = eights(data, v.longest)
     ids = np.full((n, v.longest), -1, np.int32)
     alive, width = np.arange(n), 0
     for k in range(1, v.longest + 1):
@@ -123,8 +139,9 @@ def lattice(v: Pieces, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
         hit, found = v.find(v.hash(c, alive, alive + k))
         has = np.flatnonzero(found >= 0)
         if len(has):  # a hash finds a piece, its bytes decide
-            j = np.arange(k)
-            same = (v.blob[v.off[found[has]][:, None] + j] == data[alive[has][:, None] + j]).all(axis=1)
+            same = np.ones(len(has), bool)
+            for j in range(0, k, 8):
+                same &= eight[alive[has] + j] & U64((1 << 8 * min(8, k - j)) - 1) == v.words[j >> 3][found[has]]
             has = has[same]
             width = k
             ids[alive[has] + k - 1, k - 1] = found[has]
