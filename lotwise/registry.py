@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .operators import catalog, market, matching, names, pages, similarity
+from .operators import catalog, fields, history, lines, market, matching, names, offers, pages, similarity, tiles
 from .plans import board
 from .streaming import stock
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (board, names, catalog, market, matching, similarity, pages, stock):
+for part in (board, names, fields, catalog, market, offers, history, matching, similarity, tiles, pages, lines, stock):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)

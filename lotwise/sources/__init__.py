@@ -1 +1 @@
-"""See the package README."""
+"""Readers and writers of snapshots, settings, features and rates."""
