@@ -12,14 +12,19 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+#: An item of at least this value is secret.
+SECRET = 1_000_000
+
+
 def secret_placeholder_filter(spark, sf_dir):
-    """Items that are neither secret (no price) nor placeholders (price below the least)."""
-    p = table(spark, sf_dir, "part").withColumn("secret", F.col("p_size") % 13 == 0)
-    return p.where(~F.col("secret") & (F.col("p_retailprice") > 100) & (F.length(F.trim("p_name")) > 0)).select("p_partkey", "p_name", "p_retailprice")
+    """Items that are neither secret (a value of a million or more) nor placeholders (neither demand nor rarity)."""
+    p = table(spark, sf_dir, "part").withColumns({"value": F.col("p_retailprice") * 800, "demand": F.when(F.col("p_size") % 4 > 0, F.col("p_size")), "rarity": F.when(F.col("p_partkey") % 3 > 0, F.col("p_size"))})
+    secret = F.coalesce(F.col("value") >= SECRET, F.lit(False))
+    return p.where(~secret & ~(F.col("demand").isNull() & F.col("rarity").isNull())).select("p_partkey", "p_name", "p_retailprice")
 
 
 QUERIES["secret_placeholder_filter"] = secret_placeholder_filter
-ORACLES["secret_placeholder_filter"] = "SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_size % 13 <> 0 AND p_retailprice > 100 AND length(trim(p_name)) > 0"
+ORACLES["secret_placeholder_filter"] = "SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_retailprice * 800 < 1000000 AND (p_size % 4 > 0 OR p_partkey % 3 > 0)"
 
 
 def catalog_view_search(spark, sf_dir):

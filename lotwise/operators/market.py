@@ -19,12 +19,12 @@ def _offers(spark, sf_dir) -> DataFrame:
 
 
 def offer_fold(spark, sf_dir):
-    """Lots of an item on one market: least price, stock, offers, whether any is available."""
-    return _offers(spark, sf_dir).groupBy("l_partkey", "l_suppkey").agg(F.min("l_extendedprice").alias("price"), F.sum("q").alias("stock"), F.count("*").alias("lots"), F.bool_or(F.col("l_returnflag") != "R").alias("available"))
+    """Lots of an item on one market: least price above 0, stock, offers, whether any is available."""
+    return _offers(spark, sf_dir).groupBy("l_partkey", "l_suppkey").agg(F.min(F.when(F.col("l_extendedprice") > 0, F.col("l_extendedprice"))).alias("price"), F.sum("q").alias("stock"), F.count("*").alias("lots"), F.bool_or(F.col("l_returnflag") != "R").alias("available"))
 
 
 QUERIES["offer_fold"] = offer_fold
-ORACLES["offer_fold"] = "SELECT l_partkey, l_suppkey, min(l_extendedprice) AS price, sum(l_quantity)::BIGINT AS stock, count(*) AS lots, bool_or(l_returnflag <> 'R') AS available FROM lineitem GROUP BY 1, 2"
+ORACLES["offer_fold"] = "SELECT l_partkey, l_suppkey, min(l_extendedprice) FILTER (l_extendedprice > 0) AS price, sum(l_quantity)::BIGINT AS stock, count(*) AS lots, bool_or(l_returnflag <> 'R') AS available FROM lineitem GROUP BY 1, 2"
 
 
 def combined_liquidity(spark, sf_dir):

@@ -71,7 +71,7 @@ def range_low_value(spark, sf_dir):
 
 QUERIES["range_low_value"] = range_low_value
 ORACLES["range_low_value"] = """
-SELECT p_partkey, CASE WHEN p_partkey % 5 < 3 THEN floor(p_retailprice) END AS low, CASE WHEN p_partkey % 5 < 3 THEN round(p_size / floor(p_retailprice), 6) END AS width,
+SELECT p_partkey, CASE WHEN p_partkey % 5 < 3 THEN floor(p_retailprice) END AS low, CASE WHEN p_partkey % 5 = 0 THEN round(p_size / floor(p_retailprice), 6) END AS width,
   CASE WHEN p_partkey % 5 < 4 THEN floor(p_retailprice) ELSE 2600 END::DOUBLE AS value FROM part"""
 
 

@@ -26,19 +26,25 @@ WITH v AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2),
 SELECT m.user_id, CASE WHEN count(*) = 1 THEN max(event_type) END AS choice, any_value(votes) AS votes FROM m JOIN v ON v.user_id = m.user_id AND n = top GROUP BY 1"""
 
 
+#: A choice is sure from this score and with this lead over the next other one.
+SURE, LEAD = 0.80, 0.08
+
+
 def sure_decision(spark, sf_dir):
-    """A user's type is sure if its share is at least 0.3 and 0.05 ahead of the next."""
-    v = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type")
-    r = v.withColumns({"k": F.row_number().over(w), "next": F.lead("n").over(w), "all": F.sum("n").over(Window.partitionBy("user_id"))}).where("k = 1")
-    sure = (F.col("n") * 10 >= F.col("all") * 3) & ((F.col("n") - F.coalesce("next", F.lit(0))) * 20 >= F.col("all"))
+    """A user's type is sure if its score (its best value over the best of all) is 0.80 or more, and 0.08 ahead of the next."""
+    e = table(spark, sf_dir, "events")
+    top = e.agg(F.max("value").alias("top"))
+    v = e.groupBy("user_id", "event_type").agg(F.max("value").alias("v")).crossJoin(F.broadcast(top)).withColumn("score", F.col("v") / F.col("top"))  # one row
+    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "event_type")
+    r = v.withColumns({"k": F.row_number().over(w), "next": F.lead("score").over(w)}).where("k = 1")
+    sure = (F.col("score") >= SURE) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= LEAD)
     return r.select("user_id", F.when(sure, F.col("event_type")).alias("choice"))
 
 
 QUERIES["sure_decision"] = sure_decision
 ORACLES["sure_decision"] = """
-SELECT user_id, CASE WHEN n * 10 >= a * 3 AND (n - coalesce(nx, 0)) * 20 >= a THEN event_type END AS choice FROM (
-  SELECT *, row_number() OVER w AS k, lead(n) OVER w AS nx, sum(n) OVER (PARTITION BY user_id) AS a FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) WINDOW w AS (PARTITION BY user_id ORDER BY n DESC, event_type)) WHERE k = 1"""
+SELECT user_id, CASE WHEN score >= 0.8 AND score - coalesce(nx, 0) >= 0.08 THEN event_type END AS choice FROM (
+  SELECT *, row_number() OVER w AS k, lead(score) OVER w AS nx FROM (SELECT user_id, event_type, max(value) / (SELECT max(value) FROM events) AS score FROM events GROUP BY 1, 2) WINDOW w AS (PARTITION BY user_id ORDER BY score DESC, event_type)) WHERE k = 1"""
 
 
 def learned_last3(spark, sf_dir):
@@ -67,15 +73,19 @@ SELECT p_partkey, CASE WHEN mx / 255.0::DOUBLE - mn / 255.0::DOUBLE < 0.12 THEN
   WHEN hue >= 335 OR hue < 15 THEN 'legendaries' WHEN hue >= 185 AND hue < 255 THEN 'rares' WHEN hue >= 85 AND hue < 165 THEN 'uncommons' END AS category FROM d"""
 
 
+#: A banner's category is known from this many counts and this share of them; a count is capped.
+PRIOR_COUNT, PRIOR_SHARE, COUNT_CAP = 2, 0.8, 1_000_000
+
+
 def banner_prior(spark, sf_dir):
-    """The type that a priority leads to: at least two orders and 35 % of its own."""
-    o = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("o_orderpriority"))
-    return o.withColumn("share", share).where("n >= 2 AND share >= 0.35").select("o_orderpriority", "o_orderstatus", F.round("share", 9).alias("share"))
+    """The category that a bucket has been in 80 % of two or more counts."""
+    o = table(spark, sf_dir, "part").groupBy((F.col("p_size") * 100 + F.col("p_partkey") % 60).alias("bucket"), F.when(F.col("p_partkey") % 7 == 0, F.col("p_type")).otherwise(F.col("p_name")).alias("category")).agg(F.least(F.count("*"), F.lit(COUNT_CAP)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy("bucket"))
+    return o.withColumns({"total": total, "share": F.col("n") / total}).where((F.col("total") >= PRIOR_COUNT) & (F.col("share") >= PRIOR_SHARE)).select("bucket", "category", F.round("share", 9).alias("share"))
 
 
 QUERIES["banner_prior"] = banner_prior
-ORACLES["banner_prior"] = "SELECT o_orderpriority, o_orderstatus, round(share, 9) AS share FROM (SELECT *, n / sum(n) OVER (PARTITION BY o_orderpriority) AS share FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2)) WHERE n >= 2 AND share >= 0.35"
+ORACLES["banner_prior"] = "SELECT bucket, category, round(share, 9) AS share FROM (SELECT *, sum(n) OVER (PARTITION BY bucket) AS total, n / sum(n) OVER (PARTITION BY bucket) AS share FROM (SELECT p_size * 100 + p_partkey % 60 AS bucket, CASE WHEN p_partkey % 7 = 0 THEN p_type ELSE p_name END AS category, least(count(*), 1000000) AS n FROM part GROUP BY 1, 2)) WHERE total >= 2 AND share >= 0.8"
 
 
 def shots_merge(spark, sf_dir):

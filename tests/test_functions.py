@@ -43,3 +43,7 @@ def test_scores_of_nulls(spark):
     x, n, yes, no = (F.col(c) for c in ("x", "twenty", "yes", "no"))
     got = row.select(S.offer_score(yes, x, x, x, x, x), S.offer_score(yes, n, x, x, x, x), S.offer_score(no, n, n, x, x, x), S.item_score(x, F.lit("stable"), x), S.back_off(n, F.lit(2), yes)).first()
     assert tuple(got) == (None, 100.0, None, 0.0, 900.0)
+
+
+def test_range_width_needs_a_plain_range(spark):
+    assert values(spark, T.range_width, ["[100 - 150]", "~100 - 150", "150 - 100", "[85]", "1K to 2K", None]) == [0.5, None, None, None, 1.0, None]

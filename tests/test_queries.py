@@ -83,3 +83,15 @@ def test_greedy_assignment_without_a_frame_per_group(spark, monkeypatch):
     assert got.dtypes == [("i", "bigint"), ("j", "bigint"), ("fit", "double")]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert greedy_pairs(spark.createDataFrame([], "g long, i long, j long, fit double")).count() == 0
+
+
+def test_stream_state_ends_and_late_rows_are_set_apart(spark):
+    from lotwise.streaming import stock
+
+    day = 86_400_000_000
+    rows = lambda x: spark.createDataFrame(x, "user_id long, event_type string, event_id long, us long, stock long")
+    held = spark.createDataFrame([(1, "a", 10 * day, 1, 5), (2, "a", 1 * day, 2, 7)], stock.STATE)
+    out, last, late = stock.batch_changes(rows([(1, "a", 3, 10 * day + 60, 2), (1, "a", 4, 9 * day, 9)]), held)
+    assert [(r.event_id, r.sold, r.listed) for r in out.collect()] == [(3, 3, 0)]
+    assert [r.event_id for r in late.collect()] == [4]
+    assert {(r.user_id, r.stock) for r in last.collect()} == {(1, 2)}  # item 2 is out of date by more than a snapshot can refer to
