@@ -9,6 +9,7 @@ in a text itself is written in byte pieces, like every character without a piece
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 from collections.abc import Iterator
 
@@ -160,14 +161,44 @@ def lattice(v: Pieces, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
     return ids, np.where(ids >= 0, v.weight[ids], -np.inf)
 
 
+#: Segments of more bytes are filtered one by one: steps over many segments at once don't pay for them.
+LONG = 4096
+
+
+def forward_one(weights: np.ndarray, cum: np.ndarray) -> None:
+    """The same for one segment, byte by byte; fills cum."""
+    width = weights.shape[1]
+    total = [0.0]
+    for x in range(0, len(weights), 1 << 15):
+        out = []
+        for j, row in enumerate(weights[x : x + (1 << 15)].tolist(), x):
+            got = [(k, w + total[j - k]) for k, w in enumerate(row) if w > -math.inf and k <= j]
+            top = max((v for _, v in got), default=-math.inf)
+            line, s, at = [0.0] * width, 0.0, 0
+            if top > -math.inf:
+                for k, v in got:
+                    line[at:k] = [s] * (k - at)
+                    s += math.exp(v - top)
+                    at = k
+                line[at:] = [s] * (width - at)
+                line = [v / s for v in line]
+            line[min(width, j + 1) - 1 :] = [1.0] * (width - min(width, j + 1) + 1)
+            total.append(top + math.log(s) if s else -math.inf)
+            out.append(line)
+        cum[x : x + len(out)] = out
+
+
 def forward(weights: np.ndarray, off: np.ndarray) -> np.ndarray:
     """For each byte the cumulative probabilities of the lengths of the piece that ends there, as filtered forward."""
     size = np.diff(off)
+    cum = np.empty(weights.shape, np.float32)
+    for i in np.flatnonzero(size > LONG).tolist():
+        forward_one(weights[off[i] : off[i + 1]], cum[off[i] : off[i + 1]])
+    size = np.where(size > LONG, 0, size)
     order = np.argsort(-size, kind="stable")
     start, size = off[:-1][order], size[order]
     width = weights.shape[1]
     total = np.zeros(len(weights) + 1)  # log of the summed weight of all segmentations up to each byte
-    cum = np.empty(weights.shape, np.float32)
     lengths = np.arange(1, width + 1)
     for j in range(int(size[0]) if len(size) else 0):
         m = int(np.searchsorted(-size, -j, "left"))  # segments longer than j

@@ -224,8 +224,19 @@ def test_sentencepiece_samples_by_the_weights_of_all_segmentations():
         assert max(abs(seen.get(way, 0) - p) for way, p in zip(ways, weight / weight.sum(), strict=True)) < 0.015
 
 
+def test_sentencepiece_long_segments_are_filtered_alike():
+    import numpy as np
+
+    v = sentencepiece_sampling.pieces()
+    data = np.frombuffer(" the lower éü segments".encode() + b"qzx", np.uint8)
+    _, w = sentencepiece_sampling.lattice(v, data, np.array([0, len(data)]))
+    one = np.empty(w.shape, np.float32)
+    sentencepiece_sampling.forward_one(w, one)
+    assert np.allclose(one, sentencepiece_sampling.forward(w, np.array([0, len(data)])), atol=1e-6)
+
+
 def test_sentencepiece_of_a_long_text_without_spaces(spark):
-    text = "abcdefghij" * 200_000
+    text = "abcdefghij" * 30_000
     docs = spark.createDataFrame([(1, text), (1, text), (None, "x")], "doc_id long, text string")
     rows = sentencepiece_sampling.encode(docs, digest=True).collect()
     assert [r.text_sha256 for r in rows if r.doc_id == 1] == [hashlib.sha256(text.encode()).hexdigest()] * 2 and len(rows) == 3
