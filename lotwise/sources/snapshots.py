@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Kinds of markets with the interval in seconds and the fee that count where a setting is wrong.
-KINDS = {"starpets": (300, 0.0), "dreampets": (120, 0.0), "eldorado": (120, 0.0), "shop": (120, 0.0)}
+KINDS = {"sweep": (300, 0.0), "cards": (120, 0.0), "offers": (120, 0.0), "shop": (120, 0.0)}
 LEAST_INTERVAL = 30
 
 

@@ -24,7 +24,7 @@ def test_corrupt_rows_are_set_apart(spark, tmp_path):
 
 
 def test_market_settings(spark):
-    raw = spark.createDataFrame([("a", "shop", "https://a.example/", "10", "0.1"), ("b", "starpets", "http://b.example", "90", "1.5"), ("c", "other", "https://c.example", "90", "0"), ("d", "shop", "ftp://d", "90", "0"), (None, "shop", "https://e.example", "x", None)], "name string, kind string, url string, interval string, fee string")
+    raw = spark.createDataFrame([("a", "shop", "https://a.example/", "10", "0.1"), ("b", "sweep", "http://b.example", "90", "1.5"), ("c", "other", "https://c.example", "90", "0"), ("d", "shop", "ftp://d", "90", "0"), (None, "shop", "https://e.example", "x", None)], "name string, kind string, url string, interval string, fee string")
     assert {(r.name, r.interval, r.fee) for r in S.checked_markets(raw).collect()} == {("a", 120, 0.1), ("b", 90, 0.0), (None, 120, 0.0)}
 
 
