@@ -2,7 +2,7 @@
 
 Rules that both dialects say alike are written once. ``$part$`` names a table. LIKES(x, 'pattern') asks for a match,
 FOUND(x, 'pattern', n) gives group n or null, SUBST(x, 'pattern', 'text') replaces every
-match, unix_(x) is the time in seconds, JSONV(x, '$.path') a value as text.
+match, JOINED(x, k) the group's texts by k with spaces between, unix_(x) is the time in seconds, JSONV(x, '$.path') a value as text.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ def spark_text(text: str) -> str:
     text = _calls(text, "LIKES", lambda x, p: f"(regexp_count({x}, r{p}) > 0)")
     text = _calls(text, "FOUND", lambda x, p, n="0": f"nullif(regexp_extract({x}, r{p}, {n}), '')")
     text = _calls(text, "SUBST", lambda x, p, by: f"regexp_replace({x}, r{p}, {by})").replace("unix_(", "unix_timestamp(").replace("JSONV(", "get_json_object(")
+    text = _calls(text, "JOINED", lambda x, k: f"listagg({x}, ' ') WITHIN GROUP (ORDER BY {k})")
     return re.sub(r"\$(\w+)\$", r"{\1}", text.replace("{", "{{").replace("}", "}}"))
 
 
@@ -51,6 +52,7 @@ def check_text(text: str) -> str:
     text = _calls(text, "LIKES", lambda x, p: f"regexp_matches({x}, {p})")
     text = _calls(text, "FOUND", lambda x, p, n="0": f"nullif(regexp_extract({x}, {p}, {n}), '')")
     text = _calls(text, "SUBST", lambda x, p, by: f"regexp_replace({x}, {p}, {by}, 'g')").replace("unix_(", "epoch(").replace("JSONV(", "json_extract_string(")
+    text = _calls(text, "JOINED", lambda x, k: f"string_agg({x}, ' ' ORDER BY {k})")
     return re.sub(r"\$(\w+)\$", r"\1", text)
 
 
