@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from .common import table
+from .hot import running
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -165,10 +166,10 @@ ORACLES["latest_per_key"] = "SELECT user_id, event_type, event_id, ts FROM event
 
 def cache_eviction(spark, sf_dir):
     """Least recently used records to remove, so that the rest of each type fits into 80 % of its cap (its newest half by size)."""
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.round(F.abs("value") * 100).cast("long").alias("size"))
-    newest = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
-    cap = F.sum("size").over(Window.partitionBy("event_type"))
-    return e.withColumns({"held": F.sum("size").over(newest), "cap": cap}).where("held * 10 > cap * 4").select("event_id", "event_type", "held")
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.round(F.abs("value") * 100).cast("long").alias("size"), F.to_date("ts").alias("day"))
+    cap = e.groupBy("event_type").agg(F.sum("size").alias("cap")).withColumnRenamed("event_type", "type")  # a row for each type
+    held = running(e, ["event_type"], ["ts", "event_id"], "size", "day", "held", descending=True)
+    return held.join(cap, F.col("event_type").eqNullSafe(F.col("type"))).where("held * 10 > cap * 4").select("event_id", "event_type", "held")
 
 
 QUERIES["cache_eviction"] = cache_eviction

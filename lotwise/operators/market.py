@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from .common import table
+from .hot import lagged, running, trailing, upper_median
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -83,11 +84,9 @@ def changes(snapshots: DataFrame, fresh_seconds: int = FRESH) -> DataFrame:
 
     Null where there is none before or it is older than ``fresh_seconds``.
     """
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
-    d = F.col("stock") - F.lag("stock").over(w)
-    moved = snapshots.withColumns({"gap": gap, "d": d})
-    delta = F.when(F.col("gap") <= fresh_seconds * 1_000_000, F.col("d"))
+    moved = lagged(snapshots.withColumn("day", F.to_date("ts")), ["user_id", "event_type"], ["ts", "event_id"], ["ts", "stock"], "day")
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before_ts").cast("timestamp"))
+    delta = F.when(gap <= fresh_seconds * 1_000_000, F.col("stock") - F.col("before_stock"))
     return moved.withColumn("delta", delta).select("event_id", "user_id", "event_type", "ts", "stock", *[F.when(F.col("delta").isNotNull(), F.greatest(k * F.col("delta"), F.lit(0))).alias(name) for name, k in (("sold", -1), ("listed", 1))])
 
 
@@ -106,11 +105,14 @@ QUERIES["stock_delta"] = stock_delta
 ORACLES["stock_delta"] = f"SELECT event_id, stock, sold, listed FROM ({_DELTA})"
 
 
+def _kept_changes(spark, sf_dir) -> DataFrame:
+    c = changes(snapshots(spark, sf_dir)).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    return trailing(c, ["user_id", "event_type"], "t", KEPT_HOURS * 3600 * 1_000_000, {"sold_48h": F.col("sold"), "listed_48h": F.col("listed")})
+
+
 def sold_listed_48h(spark, sf_dir):
     """What was sold and listed in the 48 hours up to each snapshot, bounds included."""
-    c = changes(snapshots(spark, sf_dir)).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = Window.partitionBy("user_id", "event_type").orderBy("t").rangeBetween(-KEPT_HOURS * 3600 * 1_000_000, 0)
-    return c.select("event_id", F.sum("sold").over(w).alias("sold_48h"), F.sum("listed").over(w).alias("listed_48h"))
+    return _kept_changes(spark, sf_dir).select("event_id", "sold_48h", "listed_48h")
 
 
 QUERIES["sold_listed_48h"] = sold_listed_48h
@@ -119,8 +121,7 @@ ORACLES["sold_listed_48h"] = f"SELECT event_id, (sum(sold) OVER w)::BIGINT AS so
 
 def sold_48h_latest(spark, sf_dir):
     """The figures at each item's last snapshot; null where it has no stock."""
-    c = snapshots(spark, sf_dir).select("event_id", "user_id", "event_type", "ts", "stock").join(sold_listed_48h(spark, sf_dir).withColumnRenamed("event_id", "e"), F.col("event_id") == F.col("e"))
-    last = c.groupBy("user_id", "event_type").agg(F.max_by(F.struct("stock", "sold_48h"), F.struct("ts", "event_id")).alias("x"))
+    last = _kept_changes(spark, sf_dir).groupBy("user_id", "event_type").agg(F.max_by(F.struct("stock", "sold_48h"), F.struct("ts", "event_id")).alias("x"))
     return last.select("user_id", "event_type", F.col("x.stock").alias("stock"), F.when(F.col("x.stock") > 0, F.col("x.sold_48h")).alias("sold_48h"))
 
 
@@ -131,14 +132,9 @@ QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, ev
 
 
 def site_ratio(spark, sf_dir):
-    """Upper median of the ratio of two prices of each market, where the first is at least 1.
-
-    Ranks instead of collected values, so that no list grows with the table.
-    """
+    """Upper median of the ratio of two prices of each market, where the first is at least 1."""
     r = _offers(spark, sf_dir).where("q >= 1").select("l_suppkey", (F.col("l_extendedprice") / F.col("q")).alias("r"))
-    w = Window.partitionBy("l_suppkey")
-    ranked = r.withColumns({"k": F.row_number().over(w.orderBy("r")), "n": F.count("*").over(w)})
-    return ranked.where("k = floor(n / 2) + 1").select("l_suppkey", F.col("r").alias("ratio"))
+    return upper_median(r, ["l_suppkey"], "r", "ratio")
 
 
 QUERIES["site_ratio"] = site_ratio
@@ -160,12 +156,15 @@ SELECT p_partkey, round(CASE WHEN k IN (1, 2) THEN p_retailprice * 80 / 80.0::DO
   round(p_retailprice * 80.0::DOUBLE * 0.95::DOUBLE, 4) AS rub, k NOT IN (1, 2) AS rub_approx FROM (SELECT *, p_partkey % 4 AS k FROM part)"""
 
 
+def _days(spark, sf_dir, *columns: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", *columns, F.to_date("ts").alias("day"))
+
+
 def price_pair_check(spark, sf_dir):
     """An older price survives beside a newer one if it is within 2 % of what the ratio leads to expect."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("before", F.lag("value").over(w))
-    sure = F.abs(F.col("before") - F.col("value")) <= 0.02 * F.abs(F.col("value"))
-    return e.select("event_id", F.when(sure, F.col("before")).alias("kept"), F.coalesce(sure, F.lit(False)).alias("sure"))
+    e = lagged(_days(spark, sf_dir, "value"), ["user_id"], ["ts", "event_id"], ["value"], "day")
+    sure = F.abs(F.col("before_value") - F.col("value")) <= 0.02 * F.abs(F.col("value"))
+    return e.select("event_id", F.when(sure, F.col("before_value")).alias("kept"), F.coalesce(sure, F.lit(False)).alias("sure"))
 
 
 QUERIES["price_pair_check"] = price_pair_check
@@ -212,9 +211,9 @@ ORACLES["rate_from_json"] = "SELECT event_type, max_by(k, (ts, event_id)) AS rat
 
 def pace_gaps(spark, sf_dir):
     """Visits of each user: events less than six hours apart; per visit the first, the number and the longest gap in seconds."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("gap", F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp")))
-    e = e.withColumn("visit", F.sum(F.when(F.col("gap") < 21_600_000_000, 0).otherwise(1)).over(w))
+    e = lagged(_days(spark, sf_dir), ["user_id"], ["ts", "event_id"], ["ts"], "day")
+    e = e.withColumn("gap", F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before_ts").cast("timestamp")))
+    e = running(e.withColumn("starts", F.when(F.col("gap") < 21_600_000_000, 0).otherwise(1)), ["user_id"], ["ts", "event_id"], "starts", "day", "visit")
     return e.groupBy("user_id", "visit").agg(F.min("ts").alias("first"), F.count("*").alias("events"), (F.max(F.when(F.col("gap") < 21_600_000_000, F.col("gap"))) / 1_000_000).cast("long").alias("longest"))
 
 
