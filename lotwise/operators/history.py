@@ -55,7 +55,7 @@ SELECT p_brand, bool_or(LIKES(CASE WHEN p_partkey % 400 = 0 THEN 'C. Old' ELSE p
 _add("sales_known", "For how many products of a shop the sales are known.", """
 SELECT l_suppkey AS shop, count(CASE WHEN l_discount > 0 THEN 1 END) AS known, count(*) AS products FROM $lineitem$ GROUP BY l_suppkey""")
 _add("true_secret_filter", "Items that are neither secret (a value of a million or more) nor placeholders (neither demand nor rarity), and the number hidden.", """
-SELECT p_type, count_if(NOT secret AND NOT placeholder) AS shown, count_if(secret) AS hidden FROM (SELECT p_type, coalesce(p_retailprice * 800 >= 1000000, false) AS secret, (CASE WHEN p_size % 4 > 0 THEN p_size END) IS NULL AND (CASE WHEN p_partkey % 3 > 0 THEN p_size END) IS NULL AS placeholder FROM $part$) q GROUP BY p_type""")
+SELECT p_type, CAST(count_if(NOT secret AND NOT placeholder) AS BIGINT) AS shown, CAST(count_if(secret) AS BIGINT) AS hidden FROM (SELECT p_type, coalesce(p_retailprice * 800 >= 1000000, false) AS secret, (CASE WHEN p_size % 4 > 0 THEN p_size END) IS NULL AND (CASE WHEN p_partkey % 3 > 0 THEN p_size END) IS NULL AS placeholder FROM $part$) q GROUP BY p_type""")
 _add("trust_check_full", "Whether a parse is trusted: refused when empty, when half of its rows are orphans, or when a category of ten or more shrank below half, unless it is an import or repeats.", """
 SELECT c, CASE WHEN imported OR repeated THEN 'taken' WHEN new_ = 0 THEN 'empty' WHEN orphans * 2 > new_ THEN 'orphans' WHEN old >= 10 AND new_ * 2 < old THEN 'shrank' ELSE 'taken' END AS verdict
 FROM (SELECT p_name AS c, count(*) AS old, count_if(p_size % 3 = 0 AND p_partkey % 2 = 0 OR length(p_name) % 3 = 0) AS new_, count_if(p_partkey % 4 = 0) AS orphans, min(p_partkey) % 7 = 0 AS imported, max(p_partkey) % 9 = 0 AS repeated FROM $part$ GROUP BY p_name) q""")

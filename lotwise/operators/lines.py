@@ -62,7 +62,7 @@ _CARDS = forms("event_id", "Ice Wing", "Value - #", "Demand - 7", "Seer", "Deman
 _add("cards_from_lines", "Cards of a page: a line that is no label, before a label, is a name; the labels after it are its fields, the first of each counts, labels before any name are orphans.", f"""
 WITH l AS (SELECT user_id AS page, event_id AS pos, t, FOUND(t, '^(Value|Demand|Rarity) - ', 1) AS label, FOUND(t, ' - (.*)$', 1) AS v FROM (SELECT user_id, event_id, {_CARDS} AS t FROM $events$) q),
 n AS (SELECT *, CASE WHEN label IS NULL AND lead(label) OVER (PARTITION BY page ORDER BY pos) IS NOT NULL THEN 1 ELSE 0 END AS name_ FROM l),
-c AS (SELECT *, sum(name_) OVER (PARTITION BY page ORDER BY pos ROWS UNBOUNDED PRECEDING) AS card FROM n)
+c AS (SELECT *, CAST(sum(name_) OVER (PARTITION BY page ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS card FROM n)
 SELECT page, card, max(CASE WHEN name_ = 1 THEN t END) AS name, min_by(v, CASE WHEN label = 'Value' THEN pos END) AS value, min_by(v, CASE WHEN label = 'Demand' THEN pos END) AS demand, min_by(v, CASE WHEN label = 'Rarity' THEN pos END) AS rarity, CASE WHEN card = 0 THEN count(label) ELSE 0 END AS orphans
 FROM c GROUP BY page, card HAVING card > 0 OR count(label) > 0""")
 _add("cards_enriched", "Fields of the popup fill what a card lacks; names that only the popup has become cards where a page has none.", """

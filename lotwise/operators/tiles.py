@@ -22,10 +22,10 @@ def _add(name: str, doc: str, text: str) -> None:
 
 _WORDS = "(SELECT user_id AS shot, event_id AS id, event_type AS word, CAST(floor(value * 7) % 400 AS BIGINT) AS x, CAST(floor(value) % 90 AS BIGINT) AS y, 8 + event_id % 13 AS w, 6 + event_id % 5 AS h FROM $events$)"
 _add("words_to_runs", "Words of a line to runs: a new one begins at a gap wider than the words are high, at a jump in height, or where sizes differ much.", f"""
-SELECT shot, id, sum(begin_) OVER (PARTITION BY shot, line ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS run
+SELECT shot, id, CAST(sum(begin_) OVER (PARTITION BY shot, line ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run
 FROM (SELECT *, CASE WHEN px IS NULL OR x - px - pw > 1.2e0 * greatest(h, ph) OR abs(y + h / 2e0 - py - ph / 2e0) > 4.5e-1 * greatest(h, ph) OR greatest(h, ph) > 1.8e0 * greatest(1, least(h, ph)) THEN 1 ELSE 0 END AS begin_
   FROM (SELECT *, lag(x) OVER v AS px, lag(w) OVER v AS pw, lag(y) OVER v AS py, lag(h) OVER v AS ph FROM (SELECT *, CAST(floor(y / 10) AS BIGINT) AS line FROM {_WORDS} a) b WINDOW v AS (PARTITION BY shot, line ORDER BY x, id)) c) d""")
-_ROWS = f"(SELECT *, sum(new_) OVER (PARTITION BY shot ORDER BY c, id ROWS UNBOUNDED PRECEDING) AS row_ FROM (SELECT *, CASE WHEN lag(c) OVER v IS NULL OR abs(c - lag(c) OVER v) > 5e-1 * greatest(h, lag(h) OVER v) THEN 1 ELSE 0 END AS new_ FROM (SELECT *, y + h / 2e0 AS c FROM {_WORDS} a) b WINDOW v AS (PARTITION BY shot ORDER BY c, id)) d)"
+_ROWS = f"(SELECT *, CAST(sum(new_) OVER (PARTITION BY shot ORDER BY c, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS row_ FROM (SELECT *, CASE WHEN lag(c) OVER v IS NULL OR abs(c - lag(c) OVER v) > 5e-1 * greatest(h, lag(h) OVER v) THEN 1 ELSE 0 END AS new_ FROM (SELECT *, y + h / 2e0 AS c FROM {_WORDS} a) b WINDOW v AS (PARTITION BY shot ORDER BY c, id)) d)"
 _add("rows_by_distance", "Boxes to rows: one joins the row of the box before it, by the height of their centres.", f"SELECT shot, id, row_ FROM {_ROWS} r")
 _add("reading_order", "Boxes in reading order: by row, then from left to right.", f"SELECT shot, id, row_number() OVER (PARTITION BY shot ORDER BY row_, x, id) AS place FROM {_ROWS} r")
 _add("tile_pitches", "The pitch of the tiles of a shot: median of the distances of neighbours in a row up to one and a half of the least.", f"""
@@ -67,7 +67,7 @@ _add("prior_applied", "Likeness scores with the banner's categories: others coun
 SELECT user_id, event_id, round(score, 6) AS score, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 6) DESC, event_id) AS place
 FROM (SELECT user_id, event_id, value / 1e3 * CASE WHEN event_type IN ('click', 'view') THEN 1e0 ELSE 9.2e-1 END AS score FROM $events$) q""")
 _add("banner_learned", "What banners of a bucket have been: the category if two or more were counted and it has 80 % of them.", """
-SELECT bucket, category, n, total FROM (SELECT bucket, category, n, sum(n) OVER (PARTITION BY bucket) AS total, row_number() OVER (PARTITION BY bucket ORDER BY n DESC, category) AS k
+SELECT bucket, category, n, total FROM (SELECT bucket, category, n, CAST(sum(n) OVER (PARTITION BY bucket) AS BIGINT) AS total, row_number() OVER (PARTITION BY bucket ORDER BY n DESC, category) AS k
   FROM (SELECT bucket, category, CAST(least(count(*), 1000000) AS BIGINT) AS n FROM (SELECT p_size * 100 + p_partkey % 60 AS bucket, CASE WHEN p_partkey % 7 = 0 THEN p_type ELSE p_name END AS category FROM $part$) p GROUP BY bucket, category) c) d WHERE k = 1 AND total >= 2 AND n / (total * 1e0) >= 8e-1""")
 _add("variant_decided", "The picture's item, if its score is 0.8 or more and leads that of the next other item by 0.08; else none.", """
 SELECT user_id, CASE WHEN score >= 8e-1 AND score - coalesce(second_, 0e0) >= 8e-2 THEN item END AS item FROM (SELECT user_id, item, score, lead(score) OVER (PARTITION BY user_id ORDER BY score DESC, item) AS second_, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS k
@@ -78,7 +78,7 @@ FROM {_WORDS} n JOIN {_WORDS} b ON n.shot = b.shot AND b.x + b.w - n.x - n.w / 2
 _LINES = f"(SELECT user_id AS doc, event_id AS pos, t, FOUND(t, '^[xX×]?([0-9]{{1,4}})[xX×]?$', 1) AS only_, t = '' OR LIKES(t, '^[-=*. ]+$') AS noise FROM (SELECT user_id, event_id, {forms('event_id', 'x3', 'Ice Wing', '', 'Seer', '12', '---', 'x7', 'Candy Cane', 'Elder', '5x', 'Gem')} AS t FROM $events$) f)"
 _add("text_lines_carry", "A line with a quantity alone counts for the item on the next line of a name, the last such line before it; one at the end for the last item.", f"""
 WITH marked AS (SELECT doc, pos, t, only_, CASE WHEN only_ IS NULL AND NOT noise THEN 1 ELSE 0 END AS item FROM {_LINES} l),
-grouped AS (SELECT *, sum(item) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) - item AS g, sum(item) OVER (PARTITION BY doc) AS items FROM marked),
+grouped AS (SELECT *, CAST(sum(item) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) - item AS BIGINT) AS g, sum(item) OVER (PARTITION BY doc) AS items FROM marked),
 folded AS (SELECT doc, g, max(items) AS items, max(CASE WHEN item = 1 THEN t END) AS name_, CAST(max_by(only_, CASE WHEN only_ IS NOT NULL THEN pos END) AS BIGINT) AS pending FROM grouped GROUP BY doc, g)
 SELECT a.doc, a.g AS line, a.name_, greatest(1, coalesce(a.pending, z.pending, 1)) AS qty FROM folded a LEFT JOIN folded z ON a.doc = z.doc AND z.g = z.items AND a.g = a.items - 1 WHERE a.name_ IS NOT NULL""")
 
