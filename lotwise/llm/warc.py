@@ -1,6 +1,6 @@
 """WARC archives: a writer with one gzip member per record, and a sequential reader.
 
-Archives are files in the shared folder, opened by URI through Arrow's file systems. A writing task names its files
+Archives are files in the shared folder, qualified on the driver and opened through Arrow's file systems. A writing task names its files
 in its result, so files of lost or repeated attempts are never read.
 """
 
@@ -12,10 +12,11 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import narrow_batches, scratch, written
@@ -32,11 +33,21 @@ RECORD = "path string, at long, page_id long, record_type string, target_uri str
 SALTS = 32
 
 
-def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    """Arrow's file system and path of a URI; schemes that only Hadoop's clients have are said by Arrow's names."""
-    scheme, _, rest = uri.partition("://")
+def qualified(spark: SparkSession, path: str) -> str:
+    """scheme://authority/path of a path as Spark takes it (the default file system where it names none), with nothing escaped."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(p).toUri()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}"
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system and path of a qualified path; schemes that only Hadoop's clients have are said by Arrow's names."""
+    scheme, _, rest = path.partition("://")
+    if scheme == "file":
+        return fs.LocalFileSystem(), rest
     try:
-        return fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}://{rest}")
+        return fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}://{quote(rest)}")
     except pa.ArrowInvalid as error:
         raise ValueError(f"archives are written through Arrow, which has no file system for {scheme}://; set spark.checkpoint.dir to a folder that it can open") from error
 
@@ -77,7 +88,7 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     spark = pages.sparkSession
     narrow_batches(spark)
-    base = scratch(spark, "warc")
+    base = qualified(spark, scratch(spark, "warc"))
     opened(base)  # fails here rather than in a task
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("k", F.when(F.octet_length("payload") >= min_bytes, F.unhex(F.sha2("payload", 256))))

@@ -276,6 +276,16 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(warc.write_warc(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("form", ["{}", "file:{}", "file://{}", "{}/with space, 100%25 and #1"])
+def test_warc_in_folders_of_any_spelling(spark, tmp_path, monkeypatch, form):
+    monkeypatch.setattr(warc, "scratch", lambda spark, name: f"{form.format(tmp_path)}/{name}")
+    manifest = warc.write_warc(spark.createDataFrame([(1, "http://a/", "x"), (2, None, "x")], "page_id long, url string, html string"))
+    folder = form.format(tmp_path).removeprefix("file:").removeprefix("//")
+    assert all(r.path.startswith(f"file://{folder}/warc/part-") for r in manifest.collect())
+    assert sorted((r.page_id, r.refers_to, r.verified) for r in warc.read_warc(manifest).collect()) == [(1, 2, True), (2, None, True)]
+    assert [p.name for p in tmp_path.rglob("*:*")] == []
+
+
 def host_path(url):
     if url is None or "://" not in url:
         return "", ""
