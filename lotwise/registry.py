@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .operators import catalog, fields, history, lines, market, matching, names, offers, pages, products, similarity, tiles
+from .operators import catalog, fields, fragments, history, lines, market, matching, names, offers, pages, products, similarity, tiles
 from .plans import board
 from .streaming import stock
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (board, names, fields, catalog, market, offers, products, history, matching, similarity, tiles, pages, lines, stock):
+for part in (board, names, fields, catalog, market, offers, products, history, matching, similarity, tiles, pages, fragments, lines, stock):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)
