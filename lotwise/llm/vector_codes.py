@@ -23,33 +23,32 @@ from .common import chunk, written
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: Integers beyond this (components beyond 65 536) would take distances out of 64 bits.
 LARGEST = 1 << 26
-#: Segments of a part at each level of the search, and rows that are compared with a codebook at a time.
-LEVELS, BLOCK_ROWS = (1, 4), 2048
-#: Bounds are computed in doubles; so much of one is taken off before it may rule an entry out.
-SLACK = 1e-9
+#: Segments of a part at each level of the search, entries that need no finer level, and rows that are compared with a codebook at a time.
+LEVELS, FEW, BLOCK_ROWS = (1, 4, 8), 4, 512
+#: Bounds are computed in doubles; so much of the two norms is taken off before one may rule an entry out.
+SLACK = 1e-11
 
 
 def cuts(dims: int, parts: int) -> list[int]:
     return [dims * i // parts for i in range(parts + 1)]
 
 
-class Segments:
-    """Means and residual norms of the segments of rows of integers, at one level."""
+def segments(x: np.ndarray, count: int) -> np.ndarray:
+    """Rows of integers as the points whose squared distances are the bounds: the mean of each segment times the root of its size, and its residual norm."""
+    edge = cuts(x.shape[1], min(count, x.shape[1]))
+    wide = x.astype(float)
+    out = []
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        mean = wide[:, a:b].mean(axis=1)
+        out += [mean * np.sqrt(b - a), np.sqrt(((wide[:, a:b] - mean[:, None]) ** 2).sum(axis=1))]
+    return np.stack(out, axis=1)
 
-    def __init__(self, x: np.ndarray, count: int):
-        edge = cuts(x.shape[1], min(count, x.shape[1]))
-        self.size = np.diff(edge).astype(float)
-        wide = x.astype(float)
-        self.mean = np.stack([wide[:, a:b].mean(axis=1) for a, b in zip(edge[:-1], edge[1:], strict=True)], axis=1)
-        self.rest = np.sqrt(np.stack([((wide[:, a:b] - m[:, None]) ** 2).sum(axis=1) for a, b, m in zip(edge[:-1], edge[1:], self.mean.T, strict=True)], axis=1))
 
-
-def bounds(x: Segments, c: Segments, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Lower bounds of the squared distances of rows i of x and entries j of c (arrays that broadcast)."""
-    out = 0.0
-    for s, size in enumerate(x.size):
-        out = out + size * (x.mean[i, s] - c.mean[j, s]) ** 2 + (x.rest[i, s] - c.rest[j, s]) ** 2
-    return out * (1 - SLACK) - SLACK
+def bounds(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Lower bounds of the squared distances of all rows of u and v (both by ``segments``), less what rounding may add."""
+    norm = lambda p: (p * p).sum(axis=1, keepdims=True) * (1 - SLACK) - SLACK
+    one = lambda p: np.ones((len(p), 1))
+    return np.hstack([-2 * u, norm(u), one(u)]) @ np.hstack([v, one(v), norm(v)]).T
 
 
 class Codebook:
@@ -57,7 +56,7 @@ class Codebook:
 
     def __init__(self, entries: np.ndarray):
         self.entries = entries
-        self.levels = [Segments(entries, n) for n in LEVELS]
+        self.levels = [segments(entries, n) for n in LEVELS]
         self.compared = 0  # exact distances so far
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,18 +71,20 @@ class Codebook:
 
     def _nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.arange(len(x))
-        coarse = Segments(x, LEVELS[0])
-        bound = bounds(coarse, self.levels[0], rows[:, None], np.arange(len(self.entries))[None, :])
-        # the entry of the least bound gives a distance that is reached
-        reached = self._distances(x, rows, bound.argmin(axis=1))
-        i, j = np.nonzero(bound <= reached[:, None])
-        for n, level in zip(LEVELS[1:], self.levels[1:], strict=True):
-            keep = bounds(Segments(x, n), level, i, j) <= reached[i]
-            i, j = i[keep], j[keep]
-        # each row has the entry that was reached, so none is without a survivor; entries are in ascending order
+        reached = np.full(len(x), np.iinfo(np.int64).max)
+        left = np.ones((len(x), len(self.entries)), bool)
+        for n, entries in zip(LEVELS, self.levels, strict=True):
+            open_ = np.flatnonzero(left.sum(axis=1) > FEW) if n > LEVELS[0] else rows
+            if not len(open_):
+                break
+            bound = np.where(left[open_], bounds(segments(x[open_], n), entries), np.inf)
+            # the entry of the least bound gives a distance that is reached; entries beyond it are out
+            reached[open_] = np.minimum(reached[open_], self._distances(x, open_, bound.argmin(axis=1)))
+            left[open_] = bound <= reached[open_, None]
+        # each row still has the entry whose distance was reached; entries are in ascending order
+        i, j = np.nonzero(left)
         exact = self._distances(x, i, j)
-        first = np.searchsorted(i, rows)
-        least = np.minimum.reduceat(exact, first) if len(rows) else exact
+        least = np.minimum.reduceat(exact, np.searchsorted(i, rows)) if len(rows) else exact
         hit = np.flatnonzero(exact == least[i])
         return j[hit[np.searchsorted(i[hit], rows)]], least
 
