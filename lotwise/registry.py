@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from .operators import catalog, fields, fragments, history, lines, market, matching, names, offers, pages, passes, products, similarity, tiles
+from .operators import catalog, fields, fragments, history, lines, market, matching, names, offers, pages, passes, pictures, products, similarity, tiles
 from .plans import board
 from .streaming import products as product_state
 from .streaming import stock
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (board, names, fields, catalog, market, offers, products, history, matching, similarity, tiles, pages, passes, fragments, lines, stock, product_state):
+for part in (board, names, fields, catalog, market, offers, products, history, matching, similarity, tiles, pages, passes, pictures, fragments, lines, stock, product_state):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)
