@@ -49,6 +49,27 @@ def back_off(interval: Column, failures: Column, blocked: Column) -> Column:
     return F.when(blocked, F.greatest(F.lit(900.0), wait)).otherwise(wait)
 
 
+#: Orphans that a parse may have (the larger of a number and a share of its items); items from which on a category may not shrink
+#: below a share; seconds after which a catalogue is loaded anyway, and after errors.
+ORPHANS, ORPHAN_SHARE, SHRINKS, KEPT_SHARE, OLD, RETRY = 2, 0.1, 10, 0.5, 43_200, 900
+
+
+def parse_verdict(items: Column, orphans: Column, before: Column, imported: Column, repeated: Column) -> Column:
+    """Whether a category's parse is taken: not if it is empty, has too many orphans, or shrank; the last is allowed
+    where the old items were an import, or where the site gives the same number again. Null counts as 0 or false."""
+    zero, no = (lambda c: F.coalesce(c, F.lit(0))), (lambda c: F.coalesce(c, F.lit(False)))
+    shrank = (zero(before) >= SHRINKS) & (zero(items) < zero(before) * KEPT_SHARE) & ~no(imported) & ~no(repeated)
+    return F.when(zero(items) == 0, "empty").when(zero(orphans) > F.greatest(F.lit(ORPHANS), zero(items) * ORPHAN_SHARE), "orphans").when(shrank, "shrank").otherwise("taken")
+
+
+def refresh_reason(paused: Column, items: Column, age: Column, errors: Column, site_date: Column, own_date: Column) -> Column:
+    """Why a catalogue is loaded again, the first that holds: paused (not at all), empty, old, errors, no date, changed; else same."""
+    return (
+        F.when(paused, "paused").when(items == 0, "empty").when(age.isNull() | (age > OLD), "old").when((errors > 0) & (age >= RETRY), "errors")
+        .when(site_date.isNull(), "no date").when(~site_date.eqNullSafe(own_date), "changed").otherwise("same")
+    )
+
+
 def banner_category(r: Column, g: Column, b: Column) -> Column:
     """Category by the hue of a banner; null if unknown."""
     top, low = F.greatest(r, g, b) / 255.0, F.least(r, g, b) / 255.0

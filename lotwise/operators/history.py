@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from .both import register
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.scoring import parse_verdict, refresh_reason
+from .both import check_text, register, spark_text
+from .common import table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -38,9 +43,18 @@ SELECT user_id, misses, gone, gone AND last_miss >= (SELECT max(ts) FROM $events
 _add("stale_products", "Products by the time since they were last seen, less pauses of the poll beyond thirty minutes: hidden after six hours, forgotten after seven days.", """
 SELECT user_id, CASE WHEN idle > 604800 THEN 'forgotten' WHEN idle > 21600 THEN 'hidden' ELSE 'shown' END AS state FROM (SELECT e.user_id, greatest(0, CAST(floor(unix_(m.last_)) - floor(unix_(max(e.ts))) AS BIGINT) - CASE WHEN e.user_id % 4 = 0 THEN 86400 - 1800 ELSE 0 END) AS idle
   FROM $events$ e CROSS JOIN (SELECT max(ts) AS last_ FROM $events$) m WHERE e.event_id % 3 = 0 GROUP BY e.user_id, m.last_) q""")
-_add("refresh_decisions", "Why a catalogue is loaded again: paused, empty, too old, errors, or another date on the site; the first reason that holds.", """
-SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'paused' WHEN items = 0 THEN 'empty' WHEN age IS NULL OR age > 43200 THEN 'old' WHEN errors > 0 AND age > 1800 THEN 'errors' WHEN site_date IS NULL THEN 'no date' WHEN site_date <> own_date THEN 'changed' ELSE 'same' END AS reason
-FROM (SELECT p_partkey, p_size % 9 AS items, CASE WHEN p_partkey % 7 > 0 THEN p_size * 1000 END AS age, p_partkey % 3 AS errors, CASE WHEN p_partkey % 5 > 0 THEN p_size % 4 END AS site_date, p_partkey % 4 AS own_date FROM $part$) q""")
+_CATALOGUES = "(SELECT p_partkey, p_partkey % 11 = 0 AS paused, p_size % 9 AS items, CASE WHEN p_partkey % 7 > 0 THEN p_size * (100 + 900 * (p_partkey % 2)) END AS age, p_partkey % 3 AS errors, CASE WHEN p_partkey % 5 > 0 THEN p_size % 4 END AS site_date, p_partkey % 4 AS own_date FROM $part$)"
+
+
+def refresh_decisions(spark, sf_dir: str) -> DataFrame:
+    """Why a catalogue is loaded again: paused, empty, too old, errors that are a quarter of an hour old, or another date on the site; the first reason that holds."""
+    rows = spark.sql(spark_text(f"SELECT * FROM {_CATALOGUES} q"), part=table(spark, sf_dir, "part"))
+    return rows.select("p_partkey", refresh_reason(*map(F.col, ("paused", "items", "age", "errors", "site_date", "own_date"))).alias("reason"))
+
+
+QUERIES["refresh_decisions"] = refresh_decisions
+ORACLES["refresh_decisions"] = check_text(f"""
+SELECT p_partkey, CASE WHEN paused THEN 'paused' WHEN items = 0 THEN 'empty' WHEN age > 12 * 3600 OR age IS NULL THEN 'old' WHEN age >= 15 * 60 AND errors > 0 THEN 'errors' WHEN site_date IS NULL THEN 'no date' WHEN site_date = own_date THEN 'same' ELSE 'changed' END AS reason FROM {_CATALOGUES} q""")
 _add("rates_kept", "The rate at each poll: a failed one keeps the last good value; when it is read again, after ten minutes or, after a failure, one.", """
 SELECT event_id, max(good) OVER (PARTITION BY user_id, run) AS rate, CASE WHEN good IS NULL THEN 60 ELSE 600 END AS again
 FROM (SELECT user_id, event_id, good, count(good) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT user_id, event_id, ts, CASE WHEN event_type <> 'error' THEN value END AS good FROM $events$) e) r""")
@@ -56,6 +70,15 @@ _add("sales_known", "For how many products of a shop the sales are known.", """
 SELECT l_suppkey AS shop, count(CASE WHEN l_discount > 0 THEN 1 END) AS known, count(*) AS products FROM $lineitem$ GROUP BY l_suppkey""")
 _add("true_secret_filter", "Items that are neither secret (a value of a million or more) nor placeholders (neither demand nor rarity), and the number hidden.", """
 SELECT p_type, CAST(count_if(NOT secret AND NOT placeholder) AS BIGINT) AS shown, CAST(count_if(secret) AS BIGINT) AS hidden FROM (SELECT p_type, coalesce(p_retailprice * 800 >= 1000000, false) AS secret, (CASE WHEN p_size % 4 > 0 THEN p_size END) IS NULL AND (CASE WHEN p_partkey % 3 > 0 THEN p_size END) IS NULL AS placeholder FROM $part$) q GROUP BY p_type""")
-_add("trust_check_full", "Whether a parse is trusted: refused when empty, when half of its rows are orphans, or when a category of ten or more shrank below half, unless it is an import or repeats.", """
-SELECT c, CASE WHEN imported OR repeated THEN 'taken' WHEN new_ = 0 THEN 'empty' WHEN orphans * 2 > new_ THEN 'orphans' WHEN old >= 10 AND new_ * 2 < old THEN 'shrank' ELSE 'taken' END AS verdict
-FROM (SELECT p_name AS c, count(*) AS old, count_if(p_size % 3 = 0 AND p_partkey % 2 = 0 OR length(p_name) % 3 = 0) AS new_, count_if(p_partkey % 4 = 0) AS orphans, min(p_partkey) % 7 = 0 AS imported, max(p_partkey) % 9 = 0 AS repeated FROM $part$ GROUP BY p_name) q""")
+_PARSED = "(SELECT p_name AS c, count(*) AS old, count_if(p_size % 3 = 0 AND p_partkey % 2 = 0 OR length(p_name) % 3 = 0) AS new_, CAST(floor(count_if(p_partkey % 4 = 0) / (1 + min(p_partkey) % 5)) AS BIGINT) AS orphans, min(p_partkey) % 7 = 0 AS imported, max(p_partkey) % 9 = 0 AS repeated FROM $part$ GROUP BY p_name)"
+
+
+def trust_check_full(spark, sf_dir: str) -> DataFrame:
+    """Whether a parse is trusted: refused when empty, when it has more orphans than two and a tenth of its items, or when a category of ten or more shrank below half, unless it was an import or repeats."""
+    rows = spark.sql(spark_text(f"SELECT * FROM {_PARSED} q"), part=table(spark, sf_dir, "part"))
+    return rows.select("c", parse_verdict(*map(F.col, ("new_", "orphans", "old", "imported", "repeated"))).alias("verdict"))
+
+
+QUERIES["trust_check_full"] = trust_check_full
+ORACLES["trust_check_full"] = check_text(f"""
+SELECT c, CASE WHEN new_ = 0 THEN 'empty' WHEN orphans > 2 AND orphans * 10 > new_ THEN 'orphans' WHEN old < 10 OR new_ * 2 >= old OR imported OR repeated THEN 'taken' ELSE 'shrank' END AS verdict FROM {_PARSED} q""")

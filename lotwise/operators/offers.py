@@ -1,6 +1,6 @@
-"""Offers of shops: their rows decoded, how they fit the items of their name, linked products, price pairs and the work that a poll has to do.
+"""Offers of shops: their rows decoded, price pairs and the work that a poll has to do; how offers fit items is in ``fit.py``.
 
-Items are parts; offers of the same name come from parts of another brand, prices and stock from sizes and keys.
+Prices and stock come from sizes and keys of parts.
 """
 
 from __future__ import annotations
@@ -15,37 +15,6 @@ def _add(name: str, doc: str, text: str) -> None:
     register(QUERIES, ORACLES, name, doc, text)
 
 
-#: The ladder of categories, of which neighbours can be taken for each other, and those of value.
-LADDER, VALUABLE = ("commons", "uncommons", "rares", "legendaries", "godlies"), ("godlies", "ancients", "chromas")
-_STEP = lambda c: f"CASE {c} " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(LADDER)) + " END"
-_ITEMS = """(SELECT p_partkey AS item, concat(p_name, p_type, p_brand) AS name_key, CASE p_size % 8 WHEN 0 THEN 'pets' WHEN 1 THEN 'chromas' WHEN 2 THEN 'commons' WHEN 3 THEN 'uncommons' WHEN 4 THEN 'rares' WHEN 5 THEN 'legendaries' WHEN 6 THEN 'godlies' ELSE 'ancients' END AS own,
-  CASE WHEN p_partkey % 3 = 0 THEN 2015 + p_size % 6 END AS item_year, CASE p_partkey % 4 WHEN 0 THEN 'gun' WHEN 1 THEN 'knife' END AS item_kind, CASE p_partkey % 5 WHEN 0 THEN 'rare' WHEN 1 THEN 'common' END AS item_class, p_partkey % 17 AS picture FROM $part$)"""
-_OFFERS = """(SELECT p_partkey AS offer, concat(p_name, p_type, p_brand) AS name_key, CASE p_partkey % 9 WHEN 0 THEN 'godlies' WHEN 1 THEN 'legendaries' WHEN 2 THEN 'rares' WHEN 3 THEN 'chromas' WHEN 4 THEN 'commons' END AS expected, CASE WHEN p_partkey % 11 = 0 THEN 'event' WHEN p_partkey % 9 < 5 THEN 'rare' END AS rarity,
-  CASE WHEN p_partkey % 4 = 1 THEN 2015 + p_partkey % 6 END AS offer_year, CASE p_partkey % 6 WHEN 0 THEN 'pet' WHEN 1 THEN 'gun' WHEN 2 THEN 'knife' END AS kind, CASE WHEN p_size % 5 > 0 THEN p_retailprice END AS price, p_size % 10 / 1e1 AS popularity, CASE WHEN p_size % 3 > 0 THEN p_size * 40 END AS stock, p_partkey % 19 AS picture FROM $part$)"""
-_PET = "(own = 'pets' OR (own = 'chromas' AND kind = 'pet'))"
-_CAT = f"CASE WHEN {_PET} THEN own ELSE expected END"
-_FIT = f"""CASE WHEN {_PET} AND (kind IN ('gun', 'knife') OR (coalesce(expected, '') = 'chromas') <> (own = 'chromas')) THEN NULL
-  WHEN NOT {_PET} AND kind = 'pet' THEN NULL
-  WHEN {_CAT} <> own AND coalesce(abs({_STEP(_CAT)} - {_STEP('own')}), 9) <> 1 THEN NULL
-  WHEN {_CAT} IS NULL AND rarity = 'event' AND own IN {VALUABLE} THEN NULL
-  ELSE CASE WHEN {_PET} THEN CASE WHEN item_class IS NULL OR rarity IS NULL THEN 5 WHEN item_class = rarity THEN 0 ELSE 30 END + CASE WHEN kind = 'pet' THEN 0 ELSE 3 END ELSE 0 END
-    + CASE WHEN {_CAT} <> own THEN 60 ELSE 0 END + CASE WHEN {_CAT} IS NULL THEN CASE WHEN rarity = 'event' THEN 10 ELSE 5 END ELSE 0 END
-    + CASE WHEN item_year IS NOT NULL THEN CASE WHEN offer_year = item_year THEN -20 WHEN offer_year IS NOT NULL THEN 50 ELSE 10 END WHEN offer_year IS NOT NULL THEN 3 ELSE 0 END
-    + CASE WHEN item_kind <> kind THEN 40 ELSE 0 END - CASE WHEN item_picture = picture THEN 200 ELSE 0 END + CASE WHEN price IS NULL THEN 2 ELSE 0 END + coalesce(popularity, 1e0) - coalesce(least(stock, 1000) / 1e3, 0e0) END"""
-_PAIRS = f"(SELECT *, {_FIT} AS fit FROM (SELECT i.item, i.own, i.item_year, i.item_kind, i.item_class, i.picture AS item_picture, o.* FROM {_ITEMS} i JOIN {_OFFERS} o ON i.name_key = o.name_key) p)"
-
-_add("offer_fit_pairs", "Every offer with every item of its name, and its misfit: less is better, null is another item for certain. Pairs stay within a name.",
-     f"SELECT item, offer, round(fit, 6) AS fit FROM {_PAIRS} f")
-_add("fit_explained", "The eight offers of an item's name that fit it best, those that can't fit last.",
-     f"SELECT item, offer, round(fit, 6) AS fit, place FROM (SELECT item, offer, fit, row_number() OVER (PARTITION BY item ORDER BY CASE WHEN fit IS NULL THEN 1 ELSE 0 END, fit, offer) AS place FROM {_PAIRS} f) g WHERE place <= 8")
-_add("linked_first", "The offer of each item: the one that a user linked, else the best that nobody linked and that fits.", f"""
-WITH pairs AS (SELECT item, offer, fit FROM {_PAIRS} f), links AS (SELECT item, max(offer) AS offer FROM pairs WHERE (item * 7 + offer) % 23 = 0 GROUP BY item),
-free AS (SELECT p.item, p.offer, p.fit FROM pairs p LEFT JOIN (SELECT DISTINCT offer AS o FROM links) l ON p.offer = l.o LEFT JOIN (SELECT item AS i FROM links) k ON p.item = k.i WHERE l.o IS NULL AND k.i IS NULL AND p.fit IS NOT NULL)
-SELECT item, offer, true AS linked FROM links
-UNION ALL SELECT item, offer, false AS linked FROM (SELECT item, offer, row_number() OVER (PARTITION BY item ORDER BY fit, offer) AS k FROM free) r WHERE k = 1""")
-_add("variant_rank_full", "The variant of an item by rarity, year, price, exact name, popularity and stock, in this order.", f"""
-SELECT item, offer FROM (SELECT item, offer, row_number() OVER (PARTITION BY item ORDER BY CASE WHEN expected IS NULL OR expected = own THEN 0 ELSE 1 END, CASE WHEN item_year IS NULL OR item_year = offer_year THEN 0 ELSE 1 END,
-  CASE WHEN price IS NULL THEN 1 ELSE 0 END, CASE WHEN item = offer THEN 0 ELSE 1 END, coalesce(popularity, 1e0), -coalesce(stock, 0), offer) AS k FROM {_PAIRS} f) r WHERE k = 1""")
 _add("picked_items", "Items that a user picked, with quantities from 1 to 9999, 500 at most.", """
 SELECT p_partkey, p_name, qty FROM (SELECT p.p_partkey, p.p_name, least(greatest(k.qty, 1), 9999) AS qty, row_number() OVER (ORDER BY k.line, p.p_partkey) AS n
   FROM $part$ p JOIN (SELECT l_partkey, min(l_orderkey * 10 + l_linenumber) AS line, CAST(sum(floor(l_quantity)) * 100 - 9000 AS BIGINT) AS qty FROM $lineitem$ WHERE l_returnflag = 'R' GROUP BY l_partkey) k ON k.l_partkey = p.p_partkey) q WHERE n <= 500""")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .both import forms, register
+from .both import check_text, forms, register, spark_text
 from .common import table
 from .matching import greedy_pairs
 
@@ -21,9 +21,33 @@ def _add(name: str, doc: str, text: str) -> None:
 
 
 _WORDS = "(SELECT user_id AS shot, event_id AS id, event_type AS word, CAST(floor(value * 7) % 400 AS BIGINT) AS x, CAST(floor(value) % 90 AS BIGINT) AS y, 8 + event_id % 13 AS w, 6 + event_id % 5 AS h FROM $events$)"
-_add("words_to_runs", "Words of a line to runs: a new one begins at a gap wider than the words are high, at a jump in height, or where sizes differ much.", f"""
+#: Fixed values, in heights of the larger word: a wider gap, or a larger jump of the centre, begins a run; so does a larger ratio of heights.
+GAP, JUMP, SIZES = 0.8, 0.45, 1.8
+
+
+def runs_of_words(words: DataFrame, line: list[str]) -> DataFrame:
+    """Words (id, x, y, w, h and the columns that name a line) with ``run``: the number of their run in the line, from 1.
+
+    Words are taken from left to right, ties by id. A word begins a run if it is the first, or by GAP, JUMP and SIZES
+    against the word before. A line's words are sorted in one task: it is a line of one picture.
+    """
+    w = Window.partitionBy(*line).orderBy("x", "id")
+    before = {c: F.lag(c).over(w) for c in "xywh"}
+    high, low = F.greatest("h", before["h"]), F.greatest(F.lit(1), F.least("h", before["h"]))
+    apart = (F.col("x") - before["x"] - before["w"] > GAP * high) | (F.abs(F.col("y") + F.col("h") / 2 - before["y"] - before["h"] / 2) > JUMP * high) | (high > SIZES * low)
+    return words.withColumn("_begins", F.coalesce(apart, F.lit(True)).cast("long")).withColumn("run", F.sum("_begins").over(w)).drop("_begins")
+
+
+def words_to_runs(spark, sf_dir: str) -> DataFrame:
+    """Words of a line to runs."""
+    words = spark.sql(spark_text(f"SELECT *, CAST(floor(y / 10) AS BIGINT) AS line FROM {_WORDS} a"), events=table(spark, sf_dir, "events"))
+    return runs_of_words(words, ["shot", "line"]).select("shot", "id", "run")
+
+
+QUERIES["words_to_runs"] = words_to_runs
+ORACLES["words_to_runs"] = check_text(f"""
 SELECT shot, id, CAST(sum(begin_) OVER (PARTITION BY shot, line ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run
-FROM (SELECT *, CASE WHEN px IS NULL OR x - px - pw > 1.2e0 * greatest(h, ph) OR abs(y + h / 2e0 - py - ph / 2e0) > 4.5e-1 * greatest(h, ph) OR greatest(h, ph) > 1.8e0 * greatest(1, least(h, ph)) THEN 1 ELSE 0 END AS begin_
+FROM (SELECT *, CASE WHEN px IS NULL OR x - px - pw > 8e-1 * greatest(h, ph) OR abs(y + h / 2e0 - py - ph / 2e0) > 4.5e-1 * greatest(h, ph) OR greatest(h, ph) > 1.8e0 * greatest(1, least(h, ph)) THEN 1 ELSE 0 END AS begin_
   FROM (SELECT *, lag(x) OVER v AS px, lag(w) OVER v AS pw, lag(y) OVER v AS py, lag(h) OVER v AS ph FROM (SELECT *, CAST(floor(y / 10) AS BIGINT) AS line FROM {_WORDS} a) b WINDOW v AS (PARTITION BY shot, line ORDER BY x, id)) c) d""")
 _ROWS = f"(SELECT *, CAST(sum(new_) OVER (PARTITION BY shot ORDER BY c, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS row_ FROM (SELECT *, CASE WHEN lag(c) OVER v IS NULL OR abs(c - lag(c) OVER v) > 5e-1 * greatest(h, lag(h) OVER v) THEN 1 ELSE 0 END AS new_ FROM (SELECT *, y + h / 2e0 AS c FROM {_WORDS} a) b WINDOW v AS (PARTITION BY shot ORDER BY c, id)) d)"
 _add("rows_by_distance", "Boxes to rows: one joins the row of the box before it, by the height of their centres.", f"SELECT shot, id, row_ FROM {_ROWS} r")
