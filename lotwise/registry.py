@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from .operators import catalog, fields, fit, fragments, history, lines, market, matching, names, offers, pages, passes, pictures, products, similarity, sitemaps, tiles
 from .plans import board
+from .streaming import history as stock_history
 from .streaming import products as product_state
 from .streaming import stock
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (board, names, fields, catalog, market, offers, fit, products, history, matching, similarity, tiles, pages, passes, pictures, sitemaps, fragments, lines, stock, product_state):
+for part in (board, names, fields, catalog, market, offers, fit, products, history, matching, similarity, tiles, pages, passes, pictures, sitemaps, fragments, lines, stock, product_state, stock_history):
     QUERIES.update(part.QUERIES)
     ORACLES.update(part.ORACLES)
