@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, bloom_word, filter_words, narrow_batches, only, packed, written
+from .common import bloom, bloom_word, chunk, filter_words, narrow_batches, only, packed, written
 
 #: Rows and bytes of text of a memtable; when it is full it is flushed as a sorted run.
 MEMTABLE_ROWS, MEMTABLE_BYTES = 200_000, 32 << 20
@@ -150,23 +150,34 @@ def answered(docs: DataFrame, id_col: str, text_col: str, digest_bits: int = 256
     index = compact(runs, width, fan_in)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The index's word on each row, and on the first row of a digest in each run whether its text has to be verified."""
+        """The index's word on each key of a range's runs: a run has a digest once, so a frequent text weighs no more here than a rare one."""
         keys = np.frombuffer(b"".join(right.column("keys").to_pylist()), f"V{width}")
         low, null = _longs(right.column("low").combine_chunks().flatten())
         n, _ = _longs(right.column("n").combine_chunks().flatten())
         many, _ = _longs(right.column("runs").combine_chunks().flatten())
         torn = np.frombuffer(b"".join(right.column("torn").to_pylist()), bool)
-        parts = []
-        for mine, ids, shas, place, first in zip(*[left.column(c).to_pylist() for c in ("keys", "ids", "shas", "place", "low")], strict=True):
-            at = np.searchsorted(keys, np.frombuffer(mine, f"V{width}"))
-            row = at[np.frombuffer(place, np.uint32)]
-            own = pa.array(ids, pa.int64())
-            lead = pc.equal(own, pa.array(first, pa.int64()).take(pa.array(np.frombuffer(place, np.uint32)))).fill_null(True)
-            ask = np.asarray(lead) & (many[row] > 1)
-            parts.append(pa.table({"id": own, "sha": pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(own), [None, pa.py_buffer(shas)]).cast(pa.binary()), "keep_id": pa.array(low[row], mask=null[row]), "n": pa.array(n[row]), "ask": pa.array(ask), "torn": pa.array(torn[row])}))
-        return pa.concat_tables(parts) if parts else pa.table({"id": pa.array([], pa.int64()), "sha": pa.array([], pa.binary()), "keep_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "ask": pa.array([], pa.bool_()), "torn": pa.array([], pa.bool_())})
-
-    told = written(runs.select("range", "keys", "low", "ids", "shas", "place").groupBy("range").cogroup(index.groupBy("range")).applyInArrow(answer, "id long, sha binary, keep_id long, n long, ask boolean, torn boolean"), "told")
+        at = [np.searchsorted(keys, np.frombuffer(mine, f"V{width}")) for mine in left.column("keys").to_pylist()]
+        longs = pa.list_(pa.int64())
+        return pa.table({"run": left.column("run"), "range": left.column("range"), "all_low": pa.array([pa.array(low[x], mask=null[x]).to_pylist() for x in at], longs), "all_n": pa.array([n[x].tolist() for x in at], longs), "repeats": pa.array([(many[x] > 1).tobytes() for x in at], pa.binary()), "any_torn": pa.array([torn[x].tobytes() for x in at], pa.binary())})
+
+    told = runs.select("run", "range", "keys").groupBy("range").cogroup(index.groupBy("range")).applyInArrow(answer, "run long, range int, all_low array<long>, all_n array<long>, repeats binary, any_torn binary")
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a run and range, with the word on their keys; the first row of a digest in each run says whether its text has to be verified."""
+        for b in batches:
+            all_ids = chunk(b.column(0))
+            cut = np.asarray(all_ids.offsets).tolist()
+            for k, (shas, place, first, low, n, repeats, torn) in enumerate(zip(*[b.column(c).to_pylist() for c in range(1, b.num_columns)], strict=True)):
+                key = pa.array(np.frombuffer(place, np.uint32))
+                own = all_ids.values[cut[k] : cut[k + 1]]
+                of = lambda values: pa.array(values, pa.int64()).take(key)  # noqa: B023, E731
+                flag = lambda raw: np.frombuffer(raw, bool)[key.to_numpy()]  # noqa: B023, E731
+                lead = np.asarray(pc.equal(own, of(first)).fill_null(True))
+                sha = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(own), [None, pa.py_buffer(shas)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([own, sha, of(low), of(n), pa.array(lead & flag(repeats)), pa.array(flag(torn))], names=["id", "sha", "keep_id", "n", "ask", "torn"])
+
+    back = runs.join(told, ["run", "range"]).select("ids", "shas", "place", "low", "all_low", "all_n", "repeats", "any_torn")
+    told = written(back.mapInArrow(rows_of, "id long, sha binary, keep_id long, n long, ask boolean, torn boolean"), "told")
 
     # the first copies of the runs meet by digest; of each digest a task hands on its least and greatest text
     ask = written(told.where("ask").select("id").distinct(), "ask")

@@ -46,6 +46,28 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(documents(spark, []).limit(0)).count() == 0
 
 
+def test_exact_dedup_of_a_text_that_a_third_of_all_rows_hold(spark, monkeypatch):
+    """What meets in a range follows the runs, not the rows: no group of a task holds the copies of the frequent text."""
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same").otherwise(F.concat(F.lit("own "), F.col("id") - F.col("id") % 2)).alias("text"))
+    groups, written = [], exact_dedup.written
+
+    def seen(df, name, *rest):
+        out = written(df, name, *rest)
+        if name == "runs":
+            keys = out.select("range", (F.length("keys") / 32).alias("keys"), F.size("ids").alias("ids"))
+            groups.extend(keys.groupBy("range").agg(F.sum("keys").alias("keys"), F.sum("ids").alias("ids"), F.count("*").alias("runs")).collect())
+        return out
+
+    monkeypatch.setattr(exact_dedup, "written", seen)
+    got = exact_dedup.exact_dedup(rows, memtable_rows=1_500)
+    stats = got.agg(F.sum(F.col("kept").cast("int")).alias("kept"), F.max("group_size").alias("most"), F.count("*").alias("n"), F.max(F.when(F.col("text") == "the same", F.col("keep_id"))).alias("low")).first()
+    texts = rows.select("text").distinct().count()
+    assert (stats.kept, stats.most, stats.n, stats.low) == (texts, 10_000, 30_000, 0)
+    hot = max(groups, key=lambda r: r.ids)
+    others = [r.keys for r in groups if r is not hot]
+    assert hot.ids > 10_000 and hot.keys <= max(others) * 1.3 + hot.runs
+
+
 def shingle_sets(texts):
     out = []
     for t in texts:
