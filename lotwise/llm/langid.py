@@ -39,6 +39,8 @@ class Model:
     bias: np.ndarray
     heat: float = 1.0  # temperature that calibrates the softmax
     threshold: float = 0.0
+    known: np.ndarray | None = None  # buckets that the fitted texts have; all without
+    cover: float = 0.0  # least share of a text's subwords in known buckets
 
     def probabilities(self, mean: np.ndarray, projected: bool = True) -> np.ndarray:
         z = ((mean if projected else mean @ self.weight) + self.bias) / self.heat
@@ -66,17 +68,24 @@ def subwords(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 def predict_arrays(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Index of the best language and its calibrated probability for each text (-1 and 0 where there is no subword)."""
+    return measured(model, texts)[:2]
+
+
+def measured(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``predict_arrays``, and the share of each text's subwords that lie in buckets of the fitted texts."""
     data, off = buffers(texts)
     table = (model.embed @ model.weight if len(model.langs) <= DIM else model.embed).T.astype(np.float32).copy()
-    best, score = np.full(len(texts), -1), np.zeros(len(texts))
+    best, score, cover = np.full(len(texts), -1), np.zeros(len(texts)), np.ones(len(texts))
     for i, j in spans(off, CHUNK):
         part, cut = data[off[i] : off[j]], off[i : j + 1] - off[i]
         rows = np.flatnonzero(np.diff(cut) > 0)
         if not len(rows):
             continue
-        sums, count = np.zeros((len(table), len(rows))), np.zeros(len(rows))
+        sums, count, seen = np.zeros((len(table), len(rows))), np.zeros(len(rows)), np.zeros(len(rows))
         for bucket, ok in subwords(part, cut):
             count += np.add.reduceat(ok.astype(np.int64), cut[rows])
+            if model.known is not None:
+                seen += np.add.reduceat((model.known[bucket] & ok).astype(np.int64), cut[rows])
             for c in range(len(table)):
                 v = table[c][bucket]
                 v *= ok
@@ -85,7 +94,9 @@ def predict_arrays(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarra
         p = model.probabilities(sums.T[has] / count[has][:, None], len(model.langs) <= DIM)
         at = i + rows[has]
         best[at], score[at] = p.argmax(axis=1), p.max(axis=1)
-    return best, score
+        if model.known is not None:
+            cover[at] = seen[has] / count[has]
+    return best, score, cover
 
 
 def train(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = SEED) -> Model | None:
@@ -123,6 +134,11 @@ def train(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = SEED) -
         loss[heat] = -np.log(np.maximum(model.probabilities(mean, False)[np.arange(len(test)), y[test]], 1e-12)).mean()
     model.heat = min(loss, key=loss.get)
     model.threshold = float(min(MOST, np.quantile(model.probabilities(mean, False).max(axis=1), REJECT_SHARE)))
+    # a softmax is sure of texts in letters that it never saw; their subwords are not those of the fitted texts
+    model.known = np.zeros(1 << BITS, bool)
+    for k in used:
+        model.known[samples[k][1]] = True
+    model.cover = float(min(MOST, np.quantile([samples[k][2][model.known[samples[k][1]]].sum() for k in test], REJECT_SHARE)))
     return model
 
 
@@ -144,7 +160,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rate = F.lit(-1.0)
     for r in counts:  # about half as many more than are asked for, then the smallest hashes of those
         rate = F.when(F.col("lang") == r["lang"], 1.5 * (per_language + 50) / r["count"]).otherwise(rate)
-    near = rows.where((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < rate).dropDuplicates(["h", "lang"])
+    near = rows.where((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < rate).groupBy("h", "lang").agg(F.min("text").alias("text"))  # of rows that repeat an id the same text, always
     near = near.withColumn("k", F.xxhash64("h"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +201,10 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     """docs with lang_pred, score and accepted, from the whole text alone.
 
     Null texts and texts without a letter get ``und``, score 0, not accepted; so does every text if there is no model.
-    ``accepted`` is false as well where the calibrated probability is below the model's threshold. Columns of docs with
-    one of the three names are replaced, others pass through. Empty tables give empty results, repeated rows the same.
+    ``accepted`` is false as well where the calibrated probability is below the model's threshold, or where fewer of the
+    subwords than its ``cover`` are in buckets of the fitted texts, as in letters of no language that it knows. Columns
+    of docs with one of the three names are replaced, others pass through. Empty tables give empty results, repeated
+    rows the same. A text is read whole, some megabytes at a time; a very long one is one value in memory.
     """
     return told(docs, model, text_col, ("lang_pred", "score", "accepted")).select("_row.*", "lang_pred", "score", "accepted")
 
@@ -209,10 +227,10 @@ def told(docs: DataFrame, model: Model | None, text_col: str, but: tuple[str, ..
         arr = pa.array(texts, pa.large_string(), from_pandas=True)
         if m is None or not len(arr):
             return pd.DataFrame({"lang": [UNKNOWN] * len(arr), "score": np.zeros(len(arr)), "accepted": np.zeros(len(arr), bool)})
-        best, score = predict_arrays(m, arr)
+        best, score, cover = measured(m, arr)
         prior = int(np.argmax(m.bias))  # letters, but no subword: a single letter
         names = np.array(m.langs, object)
-        return pd.DataFrame({"lang": names[np.where(best < 0, prior, best)], "score": np.where(best < 0, 1 / len(names), score), "accepted": score >= max(m.threshold, 1e-9)})
+        return pd.DataFrame({"lang": names[np.where(best < 0, prior, best)], "score": np.where(best < 0, 1 / len(names), score), "accepted": (score >= max(m.threshold, 1e-9)) & (cover >= m.cover)})
 
     text = F.col(f"`{text_col}`")
     letters = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
