@@ -50,7 +50,7 @@ QUERIES["variant_pick"] = variant_pick
 ORACLES["variant_pick"] = "SELECT p_name, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY CASE WHEN p_type LIKE 'S%' THEN 0 WHEN p_type LIKE 'P%' THEN 1 ELSE 2 END, p_retailprice DESC NULLS LAST, p_partkey) = 1"
 
 
-def greedy_pairs(pairs: DataFrame, group: str = "g") -> DataFrame:
+def greedy_pairs(pairs: DataFrame, group: str = "g", keep_group: bool = False) -> DataFrame:
     """One-to-one assignment in each group: pairs (g, i, j, fit) in order of fit, i, j; each is taken if both are free.
 
     Null fits are impossible pairs. Taken in rounds: a pair that is the first of its i and the first of its j has none
@@ -78,7 +78,8 @@ def greedy_pairs(pairs: DataFrame, group: str = "g") -> DataFrame:
         left.write.mode("overwrite").parquet(f"{path}/left-{number % 2}")
         left = spark.read.schema(schema).parquet(f"{path}/left-{number % 2}")
         if left.isEmpty():
-            return spark.read.schema(schema).parquet(f"{path}/taken/*").select(F.col("i").cast("long"), F.col("j").cast("long"), F.col("fit").cast("double"))
+            found = spark.read.schema(schema).parquet(f"{path}/taken/*")
+            return found.select(*(["g"] if keep_group else []), F.col("i").cast("long"), F.col("j").cast("long"), F.col("fit").cast("double"))
 
 
 def assign_greedy(spark, sf_dir):

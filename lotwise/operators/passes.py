@@ -5,6 +5,8 @@ Both are rounds of joins over all pictures at once; no picture is a group of its
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def _step(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def neighbours(boxes: DataFrame) -> DataFrame:
+def neighbours(boxes: DataFrame, rule: Callable[[dict, dict], Column] = same_place) -> DataFrame:
     """(shot, n, before): the earlier boxes (by n) of each box's place. Boxes of one place overlap, so they meet in the cells of a grid.
 
     A box lies in the cells of its own size, four at most, and looks for others in cells of that size and larger ones:
@@ -52,22 +54,22 @@ def neighbours(boxes: DataFrame) -> DataFrame:
     a, b = look.alias("a"), home.alias("b")
     met = a.join(b, F.col("a.shot").eqNullSafe(F.col("b.shot")) & (F.col("a.at") == F.col("b.level")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.n") != F.col("b.n")))
     of = lambda s: {c: F.col(f"{s}.{c}") for c in "xywh"}
-    near = met.where(same_place(of("a"), of("b")))
+    near = met.where(rule(of("a"), of("b")))
     return near.select(F.col("a.shot").alias("shot"), F.greatest("a.n", "b.n").alias("n"), F.least("a.n", "b.n").alias("before")).distinct()
 
 
-def place_clusters(boxes: DataFrame, path: str | None = None) -> tuple[DataFrame, int]:
+def place_clusters(boxes: DataFrame, path: str | None = None, rule: Callable[[dict, dict], Column] = same_place) -> tuple[DataFrame, int]:
     """(shot, n, cluster) of boxes (shot, n, x, y, w, h) and the number of rounds.
 
     Boxes are taken in the order of n: each joins the oldest cluster that holds a box of its place, else it begins one,
-    which n of its first box names. So a box's cluster is the smallest n that leads from it from box to earlier box of
+    which n of its first box names. ``rule`` says which boxes are of one place; such boxes have to overlap. So a box's cluster is the smallest n that leads from it from box to earlier box of
     one place: a box that has no earlier neighbour has itself, and in each round the others take the smallest of their
     neighbours', and of the box that they have so far. ``n`` is unique in a shot. Boxes without a size, or with a null
     in it, are clusters of their own; a null shot is a shot. An empty table gives an empty one.
     """
     spark = boxes.sparkSession
     path = path or scratch(spark, "clusters")
-    edges = _step(neighbours(boxes), f"{path}/edges")
+    edges = _step(neighbours(boxes, rule), f"{path}/edges")
     schema = "shot {}, n {}, cluster {}".format(*(boxes.schema[c].dataType.simpleString() for c in ("shot", "n", "n")))
     label = _step(boxes.select("shot", "n", F.col("n").alias("cluster")).to(spark.createDataFrame([], schema).schema), f"{path}/label-0")
     rounds = 0
