@@ -5,6 +5,10 @@ Words and boxes are events: a shot is a user, places come from the event's numbe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,26 +110,75 @@ grouped AS (SELECT *, CAST(sum(item) OVER (PARTITION BY doc ORDER BY pos ROWS UN
 folded AS (SELECT doc, g, max(items) AS items, max(CASE WHEN item = 1 THEN t END) AS name_, CAST(max_by(only_, CASE WHEN only_ IS NOT NULL THEN pos END) AS BIGINT) AS pending FROM grouped GROUP BY doc, g)
 SELECT a.doc, a.g AS line, a.name_, greatest(1, coalesce(a.pending, z.pending, 1)) AS qty FROM folded a LEFT JOIN folded z ON a.doc = z.doc AND z.g = z.items AND a.g = a.items - 1 WHERE a.name_ IS NOT NULL""")
 
-_PROBE = "SELECT vec_id AS q, label AS own, embedding AS e FROM $embeddings$ WHERE vec_id % 100 = 0"
-#: Axes of the cheap score, rows of the shortlist, answers.
-QUICK, SHORT, TOP = 8, 60, 5
+#: Axes of the cheap score, rows of the shortlist, answers; asked vectors that a task holds at a time.
+QUICK, SHORT, TOP, ASKED = 8, 60, 5, 2048
+
+
+class Shortlist:
+    """The best rows that a task has met for each asked vector: quick score, then the smaller id."""
+
+    def __init__(self, asked: np.ndarray, most: int):
+        self.asked, self.most = asked, most
+        self.q, self.quick, self.row, self.label, self.score = (np.zeros(0, t) for t in (np.int64, float, np.int64, object, float))
+        self.least = np.full(len(asked), -np.inf)
+
+    def meet(self, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, own: np.ndarray) -> None:
+        quick = np.zeros((len(rows), len(self.asked)))
+        for k in range(min(QUICK, rows.shape[1])):  # the same order of sums in every batch
+            quick += np.multiply.outer(rows[:, k], self.asked[:, k])
+        quick = np.round(quick, 9)
+        i, q = np.nonzero((quick >= self.least) & (ids[:, None] != own[None, :]))
+        dot = np.einsum("ij,ij->i", rows[i], self.asked[q])
+        size = np.einsum("ij,ij->i", rows, rows)[i] * np.einsum("ij,ij->i", self.asked, self.asked)[q]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.round(dot / np.sqrt(size), 6)
+        q, value, row, label, score = (np.concatenate(x) for x in ((self.q, q), (self.quick, quick[i, q]), (self.row, ids[i]), (self.label, labels[i]), (self.score, score)))
+        order = np.lexsort((row, -value, q))
+        q = q[order]
+        first = np.flatnonzero(np.diff(q, prepend=-1))
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        keep = order[rank < self.most]
+        last = order[rank == self.most - 1]
+        self.least[q[rank == self.most - 1]] = value[last]
+        self.q, self.quick, self.row, self.label, self.score = q[rank < self.most], value[keep], row[keep], label[keep], score[keep]
 
 
 def embedding_topk(spark, sf_dir: str) -> DataFrame:
     """For every vector whose id is divisible by 100 the most alike of all others: 60 by a cheap score (the product of
-    the first axes), ranked again by the cosine, the best of each label, five of them. The queries are a stated set,
-    so they are broadcast and every row is read once; ranks are cut in each task before rows meet."""
-    rows = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull())
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("e"))
-    pairs = rows.join(F.broadcast(asked) if asked.count() <= 100_000 else asked, F.col("vec_id") != F.col("q"))
-    quick = dot(F.slice("embedding", 1, QUICK), F.slice("e", 1, QUICK))
-    near = pairs.withColumn("quick", F.round(quick, 9)).withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("quick"), "vec_id"))).where(F.col("k") <= SHORT)
-    score = F.round(dot(F.col("embedding"), F.col("e")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("e"), F.col("e"))), 6)
-    best = near.groupBy("q", "label").agg(F.max(score).alias("score"))
+    the first axes), ranked again by the cosine, the best of each label, five of them. The asked vectors are a stated
+    set, taken in blocks of ASKED; each block reads every row once, a task keeps 60 for each, and only those meet."""
+    rows = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull()).select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    asked = rows.where("vec_id % 100 = 0")
+    blocks = max(1, -(-asked.count() // ASKED))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    near = None
+    for b in range(blocks):
+        held = asked.where(block == b).select("vec_id", "e").toArrow()  # about ASKED vectors
+        if not held.num_rows:
+            continue
+        found = rows.mapInArrow(_shortlists(np.asarray(held.column(0)), held.column(1)), "q long, quick double, vec_id long, label int, score double")
+        near = found if near is None else near.unionByName(found)
+    if near is None:
+        near = spark.createDataFrame([], "q long, quick double, vec_id long, label int, score double")
+    near = near.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("quick"), "vec_id"))).where(F.col("k") <= SHORT)
+    best = near.groupBy("q", "label").agg(F.max("score").alias("score"))
     return best.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "label"))).where(F.col("place") <= TOP).select("q", "label", "score", "place")
 
 
+def _shortlists(own: np.ndarray, asked: pa.ChunkedArray):
+    vectors = np.array(asked.to_pylist(), float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Shortlist(vectors, SHORT)
+        for b in batches:
+            for k in range(0, b.num_rows, 1_000):
+                part = b.slice(k, 1_000)
+                held.meet(np.asarray(part.column(0)), np.array(part.column(1).to_pylist(), object), np.array(part.column(2).to_pylist(), float), own)
+        yield pa.RecordBatch.from_arrays([pa.array(own[held.q], pa.int64()), pa.array(held.quick), pa.array(held.row, pa.int64()), pa.array(held.label.tolist(), pa.int32()), pa.array(held.score)], names=["q", "quick", "vec_id", "label", "score"])
+
+    return run
+
+
 QUERIES["embedding_topk"] = embedding_topk
 ORACLES["embedding_topk"] = f"""
 WITH r AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
