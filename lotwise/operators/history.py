@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import parse_verdict, refresh_reason
 from .both import check_text, register, spark_text
 from .common import table
+from .hot import lagged, running
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -40,9 +41,40 @@ _RUNS = "(SELECT user_id, ts, event_id, event_type = 'error' AS miss, sum(CASE W
 _add("gone_products", "Products whose page is missing: gone after three misses in a row, twelve hours or more after the first; kept as gone for three days after the last.", f"""
 SELECT user_id, misses, gone, gone AND last_miss >= (SELECT max(ts) FROM $events$) - INTERVAL 72 HOUR AS remembered FROM (SELECT user_id, run, count(*) AS misses, max(ts) AS last_miss, count(*) >= 3 AND max(ts) >= min(ts) + INTERVAL 12 HOUR AS gone, row_number() OVER (PARTITION BY user_id ORDER BY run DESC) AS k
   FROM {_RUNS} r WHERE miss GROUP BY user_id, run) q WHERE k = 1""")
-_add("stale_products", "Products by the time since they were last seen, less pauses of the poll beyond thirty minutes: hidden after six hours, forgotten after seven days.", """
-SELECT user_id, CASE WHEN idle > 604800 THEN 'forgotten' WHEN idle > 21600 THEN 'hidden' ELSE 'shown' END AS state FROM (SELECT e.user_id, greatest(0, CAST(floor(unix_(m.last_)) - floor(unix_(max(e.ts))) AS BIGINT) - CASE WHEN e.user_id % 4 = 0 THEN 86400 - 1800 ELSE 0 END) AS idle
-  FROM $events$ e CROSS JOIN (SELECT max(ts) AS last_ FROM $events$) m WHERE e.event_id % 3 = 0 GROUP BY e.user_id, m.last_) q""")
+#: Fixed values, in seconds: a pause between polls beyond this is downtime; idle time after which a product is hidden, and forgotten.
+ALLOWED, HIDDEN_AFTER, FORGOTTEN_AFTER = 1_800, 21_600, 604_800
+
+
+def staleness(polls: DataFrame, seen: DataFrame, allowed: int = ALLOWED) -> DataFrame:
+    """(market, product, idle, state) of products (market, product, at: whole seconds, each that of a poll) at the last of their market's polls (market, at).
+
+    Time in which nothing was polled is nobody's fault: of a pause between two polls what is beyond ``allowed`` seconds
+    doesn't count as idle. Polls of a market are cut into days, so that one with many is not one task. A null market is
+    a market, null times are left out.
+    """
+    times = polls.where("at is not null").select("market", "at").distinct().withColumn("day", F.floor(F.col("at") / 86_400))
+    gaps = lagged(times, ["market"], ["at"], ["at"], "day").withColumn("down", F.coalesce(F.greatest(F.col("at") - F.col("before_at") - allowed, F.lit(0)), F.lit(0)))
+    spent = running(gaps.select("market", "at", "day", "down"), ["market"], ["at"], "down", "day", "lost")
+    now = spent.groupBy(F.col("market").alias("_m")).agg(F.max("at").alias("now"), F.max("lost").alias("all_lost"))
+    last = seen.where("at is not null").groupBy("market", "product").agg(F.max("at").alias("at"))
+    then = spent.select(F.col("market").alias("_s"), F.col("at").alias("_at"), "lost")
+    told = last.join(then, F.col("market").eqNullSafe(F.col("_s")) & (F.col("at") == F.col("_at"))).join(now, F.col("market").eqNullSafe(F.col("_m")))
+    idle = F.col("now") - F.col("at") - (F.col("all_lost") - F.col("lost"))
+    return told.select("market", "product", idle.alias("idle"), F.when(idle > FORGOTTEN_AFTER, "forgotten").when(idle > HIDDEN_AFTER, "hidden").otherwise("shown").alias("state"))
+
+
+def stale_products(spark, sf_dir: str) -> DataFrame:
+    """Products of each kind of event by the time since they were last seen, less pauses of that kind's polls beyond thirty minutes: hidden after six hours, forgotten after seven days."""
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("market"), F.col("user_id").alias("product"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    return staleness(events, events)
+
+
+QUERIES["stale_products"] = stale_products
+ORACLES["stale_products"] = """
+WITH e AS (SELECT event_type AS market, user_id AS product, floor(epoch(ts))::BIGINT AS t FROM events), p AS (SELECT DISTINCT market, t FROM e),
+g AS (SELECT market, t, greatest(0, coalesce(t - lag(t) OVER (PARTITION BY market ORDER BY t) - 1800, 0)) AS down FROM p), c AS (SELECT market, t, sum(down) OVER (PARTITION BY market ORDER BY t) AS lost FROM g),
+l AS (SELECT market, product, max(t) AS t FROM e GROUP BY ALL), i AS (SELECT l.market, product, (SELECT max(t) FROM c WHERE c.market = l.market) - l.t - (SELECT max(lost) FROM c WHERE c.market = l.market) + c.lost AS idle FROM l JOIN c ON c.market = l.market AND c.t = l.t)
+SELECT market, product, idle::BIGINT AS idle, CASE WHEN idle > 7 * 86400 THEN 'forgotten' WHEN idle > 6 * 3600 THEN 'hidden' ELSE 'shown' END AS state FROM i"""
 _CATALOGUES = "(SELECT p_partkey, p_partkey % 11 = 0 AS paused, p_size % 9 AS items, CASE WHEN p_partkey % 7 > 0 THEN p_size * (100 + 900 * (p_partkey % 2)) END AS age, p_partkey % 3 AS errors, CASE WHEN p_partkey % 5 > 0 THEN p_size % 4 END AS site_date, p_partkey % 4 AS own_date FROM $part$)"
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotwise.functions import scoring, text
-from lotwise.operators import fit, tiles
+from lotwise.operators import fit, history, tiles
 
 
 def asked(spark, rows, schema, **columns):
@@ -74,3 +74,14 @@ def test_offers_of_a_catalogue(spark):
     links = spark.createDataFrame([(2, 11)], "item long, offer long")
     assert sorted(map(tuple, fit.linked_first(pairs, links).collect())) == [(1, 10, False), (2, 11, True)]
     assert sorted(map(tuple, fit.variants(pairs, F.lit(False)).collect())) == [(1, 11), (2, 13)]
+
+
+def test_idle_time_without_downtime(spark):
+    day = 86_400
+    # a poll each quarter of an hour; a night of ten hours without any between them
+    times = [k * 900 for k in range(40)] + [40 * 900 + 36_000 + k * 900 for k in range(20)]
+    polls = spark.createDataFrame([(m, t) for m in ("a", None) for t in times] + [("b", 0), ("b", 10 * day), ("b", None)], "market string, at long")
+    seen = spark.createDataFrame([("a", 1, 0), ("a", 1, times[-1]), ("a", 2, times[39]), ("a", 3, times[0]), (None, 3, times[30]), ("b", 4, 0), ("b", 5, None)], "market string, product long, at long")
+    got = {(r.market, r.product): (r.idle, r.state) for r in history.staleness(polls, seen).collect()}
+    night = 36_900 - 1_800  # of the pause half an hour counts
+    assert got == {("a", 1): (0, "shown"), ("a", 2): (times[-1] - times[39] - night, "shown"), ("a", 3): (times[-1] - night, "hidden"), (None, 3): (times[-1] - times[30] - night, "hidden"), ("b", 4): (1_800, "shown")}
