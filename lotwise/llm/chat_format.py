@@ -74,7 +74,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     Turns are in order of turn (null first; ties by role, then text). A null text or role is empty; null ids are one
     conversation. The loss mask covers each assistant text, without its marks. Texts may hold control strings: they
-    are escaped, and ``unescape`` restores them. An empty table gives an empty result. Other columns are not read.
+    are escaped, and ``unescape`` restores them. An empty table gives an empty result. Other columns are not read. A
+    conversation is one text, so it is assembled in one task, over as many batches of turns as it takes.
     """
     narrow_batches(turns.sparkSession)
     rows = turns.select(F.col(conv_col).cast("long").alias("c"), F.col(turn_col).alias("t"), F.coalesce(F.col(role_col), F.lit("")).alias("r"), F.coalesce(F.col(text_col), F.lit("")).alias("x"))

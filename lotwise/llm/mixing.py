@@ -89,6 +89,8 @@ def calibrate(cells: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS) ->
         if c is not None and abs(new - c) <= 1e-12 * new:
             break
         c = new
+    else:
+        warnings.warn(f"after {rounds} rounds cells still reach probability 1; the sample misses its budget by what they would share", stacklevel=2)
     return cells.withColumn("p", F.least(F.lit(1.0), F.lit(c if c is not None else 0.0) * rate))
 
 
@@ -113,7 +115,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic_c
     ``marginals`` (dimension to a table of value and target), else the flattened own shares. Null source, language or
     topic is the value ''. Texts without words (null, empty) hold no tokens: weight 0, p 1, kept. Repeated rows share
     their decision. An empty table gives an empty result. Columns of docs other than id, text, source and lang are
-    not read.
+    not read. Very long texts are only counted.
     """
     rows = written(features(docs, id_col, text_col, topic_col), "features")
     cells = written(rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "cells")

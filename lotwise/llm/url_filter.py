@@ -107,7 +107,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     the trees a sample of at most ``sample_rows`` distinct URLs. With no labelled URL every score is 0; with labels of
     one kind only, every score says that one. Null URLs and those without ``://`` have empty host and path and are
     judged by the trees. Repeated rows get the same result; an empty table gives an empty one. Other columns of pages
-    are not read.
+    are not read; a very long URL is described whole, as one value.
     """
     shared_dir(pages.sparkSession)
     rows = described(pages, id_col, url_col, rules)

@@ -84,7 +84,7 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Of equal payloads of at least ``min_bytes`` the row with the largest id is a response and the others revisit it;
     rows that repeat that id are responses too, and a null id is below all others. Null payloads are empty. Other
-    columns are not read; an empty table gives no archive.
+    columns are not read; an empty table gives no archive. A payload is one value in memory, however long.
     """
     spark = pages.sparkSession
     narrow_batches(spark)
@@ -167,7 +167,8 @@ def parse(content: bytes) -> dict:
 def read_warc(manifest: DataFrame, payloads: bool = True) -> DataFrame:
     """One row per record of the archives (RECORD). A broken archive raises; a wrong digest gives verified = false.
 
-    ``payloads`` false leaves the payload column null after its digest is verified.
+    ``payloads`` false leaves the payload column null after its digest is verified. A record is held whole while it is
+    read, others are not.
     """
     spark = manifest.sparkSession
     narrow_batches(spark)
