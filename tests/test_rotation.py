@@ -48,7 +48,7 @@ def test_cycles_with_interruptions_equal_a_loop(spark, tmp_path):
         want, wanted = plain(pages[:at])
         assert progress == wanted
         assert {r.id: (r.name, r.kind, r.price, r.quantity, r.seller, r.sold_30d, r.cycle) for r in offers.collect()} == want
-    assert wanted["done"] > 5 and len(want) > 10
+    assert wanted["done"] > 5 and len(want) > 2
     items = {(r.name, r.kind): tuple(r)[2:] for r in market_items(offers).collect()}
     by = {}
     for name, kind, price, quantity, seller, sold, _ in want.values():
