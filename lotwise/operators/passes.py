@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import reread, scratch, table
 from .products import LEAST, read_names
 
 QUERIES: dict = {}
@@ -36,7 +36,7 @@ def same_place(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 def _step(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return reread(df, path)
 
 
 def neighbours(boxes: DataFrame, rule: Callable[[dict, dict], Column] = same_place) -> DataFrame:
@@ -51,7 +51,7 @@ def neighbours(boxes: DataFrame, rule: Callable[[dict, dict], Column] = same_pla
     home = rows.withColumn("cell", cells(F.pow(F.lit(2.0), "level")))
     top = rows.agg(F.max("level").alias("_top"))  # one row
     look = rows.crossJoin(F.broadcast(top)).withColumn("at", F.explode(F.sequence("level", "_top"))).withColumn("cell", cells(F.pow(F.lit(2.0), "at")))
-    a, b = look.alias("a"), home.alias("b")
+    a, b = look.alias("a"), home.hint("merge").alias("b")
     met = a.join(b, F.col("a.shot").eqNullSafe(F.col("b.shot")) & (F.col("a.at") == F.col("b.level")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.n") != F.col("b.n")))
     of = lambda s: {c: F.col(f"{s}.{c}") for c in "xywh"}
     near = met.where(rule(of("a"), of("b")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import banner_category
 from ..functions.text import name_key, squeezed
 from . import fields
-from .common import scratch, table
+from .common import reread, scratch, table
 from .matching import greedy_pairs
 from .passes import place_clusters, split_glued
 from .products import LEAST, read_names
@@ -138,7 +138,7 @@ def tile_widths(names: DataFrame | None, badges: DataFrame) -> DataFrame:
 
 
 def _with_width(rows: DataFrame, widths: DataFrame) -> DataFrame:
-    return rows.join(widths.select(F.col("shot").alias("_s"), "width"), F.col("shot").eqNullSafe(F.col("_s")), "left").drop("_s")
+    return rows.join(widths.select(F.col("shot").alias("_s"), "width").hint("merge"), F.col("shot").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
 def split_wide(names: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def split_names(names: DataFrame, known: DataFrame, path: str) -> DataFrame:
     key = F.to_json(F.struct("shot", "pass", "line", "run", "part"), {"ignoreNullFields": "false"})
     told = names.withColumn("phrase", key)
     told.write.parquet(f"{path}/phrases")
-    told = names.sparkSession.read.schema(told.schema).parquet(f"{path}/phrases")
+    told = reread(told, f"{path}/phrases")
     split = split_glued(told.select("phrase", F.transform("words", lambda v: v["text"]).alias("words")), known, f"{path}/glued").select(F.col("phrase").alias("_p"), "start", F.col("words").alias("size"))
     parts = told.join(split, F.col("phrase") == F.col("_p")).select("shot", "pass", "phrase", "start", F.posexplode(F.slice("words", F.col("start") + 1, F.col("size"))).alias("k", "v"))
     rows = parts.select("shot", "pass", "phrase", "start", "k", "v.*")
@@ -219,9 +219,11 @@ def recognised(words: DataFrame, names: DataFrame, shots: DataFrame | None = Non
 
     def step(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{path}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        return reread(df, f"{path}/{name}")
 
-    known = step(names.select("name", F.regexp_replace(F.lower(squeezed(F.col("name"))), "[^a-z0-9]+", "").alias("key")).where("length(key) >= 2").distinct(), "names")
+    known = names.select("name", F.regexp_replace(F.lower(squeezed(F.col("name"))), "[^a-z0-9]+", "").alias("key")).where("length(key) >= 2").distinct()
+    known.write.parquet(f"{path}/names")
+    known = spark.read.schema(known.schema).parquet(f"{path}/names")  # a dictionary
     raw, badges = phrases(words)
     badges = step(merged_badges(step(badges, "badge-words"), f"{path}/badge-places"), "badges")
     wide = split_wide(_with_width(raw, tile_widths(None, badges)))
@@ -277,7 +279,7 @@ def _merged(tiles: DataFrame, path: str) -> DataFrame:
     """One tile for each place."""
     tiles = _numbered(tiles, "kind", "i", "j")
     tiles.write.parquet(f"{path}/tiles")
-    tiles = tiles.sparkSession.read.schema(tiles.schema).parquet(f"{path}/tiles")
+    tiles = reread(tiles, f"{path}/tiles")
     places, _ = place_clusters(tiles.select("shot", "n", *[F.when(F.col("_boxed"), F.col(c)).alias(c) for c in "xywh"]), f"{path}/places", _covers)
     met = tiles.join(places.select(F.col("shot").alias("_s"), F.col("n").alias("_n"), "cluster"), F.col("shot").eqNullSafe(F.col("_s")) & (F.col("n") == F.col("_n")))
     best = F.min_by(F.struct("name", "text", "score", "x", "y", "w", "h", "bg", "clipped"), F.struct(F.col("name").isNull(), -F.col("score"), "n"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lotwise.operators.passes import place_clusters, split_glued
+from lotwise.operators.passes import neighbours, place_clusters, split_glued
 from lotwise.operators.products import LEAST, read_names
 
 
@@ -79,3 +79,15 @@ def test_glued_names_equal_all_cuts(spark):
     got = sorted(tuple(x) for x in split_glued(table, spark.createDataFrame([(k,) for k in keys], "name string")).collect())
     assert got == sorted(want, key=lambda x: x[:2])
     assert [x[3] for x in got if x[0] == 120] == ["Elderwood Scythe", "Corrupt"]
+
+
+def test_neighbours_and_steps_join_without_a_broadcast(spark, tmp_path):
+    from lotwise.operators.common import reread
+
+    boxes = spark.createDataFrame([(1, n, 10.0 * n, 0.0, 12.0, 8.0) for n in range(4)], "shot long, n long, x double, y double, w double, h double")
+    boxes.write.parquet(f"{tmp_path}/boxes")
+    held = reread(boxes, f"{tmp_path}/boxes")
+    plans = [neighbours(boxes), held.join(held.groupBy("n").count(), "n"), held.join(held.select("n").where("n > 1"), "n", "left_anti")]
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
