@@ -1,6 +1,7 @@
 """Queries that SQL can't say, against plain Python on small tables."""
 
 import difflib
+import random
 
 from pyspark.sql import functions as F
 
@@ -59,3 +60,21 @@ def test_line_scan_against_a_plain_scan(spark):
                 place += 1
             s += n or 1
     assert {tuple(r) for r in lines.QUERIES["line_scan"](spark, SF).collect()} == want
+
+
+def test_nearest_pairs_make_no_pairs_and_take_what_the_greedy_order_takes(spark):
+    r = random.Random(5)
+    for most, low, high, kinds in ((3.0, 0, 12, 1), (0.05, 0, 40, 0.01), (500.0, -90, 900, 7.13)):
+        sides = [[(g, 10 * r.randrange(10_000) + g, float(round(r.randrange(low, high) * kinds, 2))) for g in range(3) for _ in range(40)] for _ in "lr"]
+        sides = [list({x[:2]: x for x in rows}.values()) for rows in sides]
+        free, want = [set(x[:2] for x in rows) for rows in sides], set()
+        for fit, i, j, g in sorted((round(abs(b[2] - a[2]), 2), a[1], b[1], a[0]) for a in sides[0] for b in sides[1] if a[0] == b[0] and abs(b[2] - a[2]) <= most):
+            if (g, i) in free[0] and (g, j) in free[1]:
+                free[0].remove((g, i))
+                free[1].remove((g, j))
+                want.add((i, j, fit))
+        left, right = (spark.createDataFrame([*rows, (None, 1, 0.0), (1, 2, None), (1, 3, float("nan"))], "g int, id long, value double") for rows in sides)
+        got = matching.nearest_pairs(left, right, most)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    none = left.where("false")
+    assert matching.nearest_pairs(none, right, 1.0).collect() == [] and matching.nearest_pairs(none, none, 1.0).collect() == []
