@@ -112,6 +112,8 @@ SELECT a.doc, a.g AS line, a.name_, greatest(1, coalesce(a.pending, z.pending, 1
 
 #: Axes of the cheap score, rows of the shortlist, answers; asked vectors that a task holds at a time.
 QUICK, SHORT, TOP, ASKED = 8, 60, 5, 2048
+#: Pairs that a task scores at a time: their vectors are copied side by side.
+SCORED = 16_384
 
 
 class Shortlist:
@@ -127,9 +129,12 @@ class Shortlist:
         for k in range(min(QUICK, rows.shape[1])):  # the same order of sums in every batch
             quick += np.multiply.outer(rows[:, k], self.asked[:, k])
         quick = np.round(quick, 9)
-        i, q = np.nonzero((quick >= self.least) & (ids[:, None] != own[None, :]))
-        dot = np.einsum("ij,ij->i", rows[i], self.asked[q])
+        hits = (quick >= self.least) & (ids[:, None] != own[None, :])
+        if len(rows) > self.most and np.count_nonzero(hits) > SCORED:  # what the batch's own best leave behind isn't among the best of all
+            hits &= quick >= np.partition(np.where(hits, quick, -np.inf), len(rows) - self.most, axis=0)[len(rows) - self.most]
+        i, q = np.nonzero(hits)
         size = np.einsum("ij,ij->i", rows, rows)[i] * np.einsum("ij,ij->i", self.asked, self.asked)[q]
+        dot = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", rows[i[k : k + SCORED]], self.asked[q[k : k + SCORED]]) for k in range(0, len(i), SCORED))])
         with np.errstate(divide="ignore", invalid="ignore"):
             score = np.round(dot / np.sqrt(size), 6)
         q, value, row, label, score = (np.concatenate(x) for x in ((self.q, q), (self.quick, quick[i, q]), (self.row, ids[i]), (self.label, labels[i]), (self.score, score)))

@@ -78,3 +78,25 @@ def test_nearest_pairs_make_no_pairs_and_take_what_the_greedy_order_takes(spark)
         assert sorted(map(tuple, got.collect())) == sorted(want)
     none = left.where("false")
     assert matching.nearest_pairs(none, right, 1.0).collect() == [] and matching.nearest_pairs(none, none, 1.0).collect() == []
+
+
+def test_a_shortlist_copies_few_vectors_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows, asked = np.round(rng.normal(size=(3_000, 64)), 1), np.round(rng.normal(size=(tiles.ASKED, 64)), 1)
+    rows[:1_500, :8] = np.round(rows[:1_500, :8])  # equal quick scores
+    ids, own, labels = np.arange(3_000), np.arange(0, 10 * tiles.ASKED, 10), np.zeros(3_000, object)
+    held = tiles.Shortlist(asked, tiles.SHORT)
+    tracemalloc.start()
+    for k in range(0, 3_000, 1_000):
+        held.meet(ids[k : k + 1_000], labels[k : k + 1_000], rows[k : k + 1_000], own)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000_000
+    for k in (0, 1, 700, tiles.ASKED - 1):
+        quick = np.round(sum(rows[:, c] * asked[k, c] for c in range(tiles.QUICK)), 9)
+        best = sorted((-v, n) for v, n in zip(quick, ids, strict=True) if n != own[k])[: tiles.SHORT]
+        assert held.row[held.q == k].tolist() == [n for _, n in best]
