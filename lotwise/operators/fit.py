@@ -53,7 +53,7 @@ def offer_fit(item: dict[str, Column], offer: dict[str, Column]) -> Column:
 
 def fit_pairs(items: DataFrame, offers: DataFrame) -> DataFrame:
     """Every offer with every item of its name_key, and their misfit (``fit``). Null names meet nothing; pairs stay within a name."""
-    pairs = items.withColumnRenamed("name_key", "_key").join(offers, F.col("_key") == F.col("name_key")).drop("_key")
+    pairs = items.withColumnRenamed("name_key", "_key").join(offers.hint("merge"), F.col("_key") == F.col("name_key")).drop("_key")
     names = lambda spec: [c.split()[0] for c in spec.split(", ")]
     return pairs.withColumn("fit", offer_fit({c: F.col(c) for c in names(ITEM)}, {c: F.col(c) for c in names(OFFER)}).cast("double"))
 
@@ -73,14 +73,74 @@ def linked_first(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return chosen.select("item", "offer", F.lit(True).alias("linked")).unionByName(best)
 
 
-def variants(pairs: DataFrame, exact: Column) -> DataFrame:
-    """item, offer: the variant by rarity, year, price, ``exact`` name, popularity and stock, in this order."""
+def best_offers(items: DataFrame, offers: DataFrame) -> DataFrame:
+    """item, fit, offer: of the offers of an item's name_key that can be it the best by misfit, then the smallest offer, without making the pairs.
+
+    Items and offers that the misfit can't tell apart meet once, and of offers that differ in popularity and stock alone
+    those that can be the best. As any two may have one picture, pictures are met apart: first every kind of offer as
+    if it had no picture, which never makes a misfit less, then those of the item's own picture.
+    """
+    items, offers = items.hint("merge"), offers.hint("merge")  # a small file can be many rows: none is broadcast
+    ease = F.coalesce("popularity", F.lit(1.0)) - F.when(F.col("stock").isNotNull(), F.least("stock", F.lit(1000)) / 1000).otherwise(0.0)
+    told = offers.where("name_key is not null").withColumns({"_priced": F.col("price").isNotNull(), "_ease": ease})
+
+    def kinds(rows: DataFrame, *more: str) -> DataFrame:
+        own = ["name_key", "expected", "rarity", "year", "offer_kind", "_priced", *more]
+        one = rows.groupBy(*own, "popularity", "stock", "_ease").agg(F.min("price").alias("price"), F.min("offer").alias("offer"))
+        least = F.min("_ease").over(Window.partitionBy(*own))
+        return one.withColumn("_least", least).where(F.col("_ease") <= F.col("_least") + 1e-9 * (1000 + F.abs("_least")))  # sums of doubles round
+
+    def best(rows: DataFrame, own: list[str], kinds_: DataFrame, into: str) -> DataFrame:
+        pairs = fit_pairs(rows.groupBy(*own).agg(F.lit(1).alias("_")).withColumn("_item", F.struct(*own)).withColumns({c: F.lit(None).cast("string") for c in ("picture",) if c not in own}), kinds_)
+        pairs = pairs.where("fit is not null" + (" and picture = offer_picture" if "picture" in own else ""))
+        return pairs.groupBy("_item").agg(F.min(F.struct("fit", "offer")).alias(into))
+
+    plain = ["name_key", "category", "years", "kind", "pet_class"]
+    seen = [*plain, "picture"]
+    named = items.where("name_key is not null")
+    first = best(named, plain, kinds(told).withColumn("offer_picture", F.lit(None).cast("string")), "_plain")
+    same = best(named.where("picture <> ''"), seen, kinds(told.where("offer_picture <> ''"), "offer_picture"), "_seen")
+    rows = named.withColumns({"_a": F.struct(*plain), "_b": F.struct(*seen)})
+    rows = rows.join(first, F.col("_a") == F.col("_item"), "left").drop("_item").join(same, F.col("_b") == F.col("_item"), "left")
+    return rows.groupBy("item").agg(F.min(F.least("_plain", "_seen")).alias("x")).where("x is not null").select("item", "x.fit", "x.offer")
+
+
+def linked_best(items: DataFrame, offers: DataFrame, links: DataFrame) -> DataFrame:
+    """``linked_first`` of all pairs of a name, without making the pairs."""
+    chosen = links.groupBy("item").agg(F.max("offer").alias("offer")).hint("merge")
+    free = offers.join(chosen.select(F.col("offer").alias("_o")).distinct(), F.col("offer") == F.col("_o"), "left_anti")
+    asked = items.join(chosen.select(F.col("item").alias("_i")), F.col("item") == F.col("_i"), "left_anti")
+    return chosen.select("item", "offer", F.lit(True).alias("linked")).unionByName(best_offers(asked, free).select("item", "offer", F.lit(False).alias("linked")))
+
+
+def _variant_rank(exact: Column) -> Column:
     miss = lambda right: F.when(F.coalesce(right, F.lit(False)), 0).otherwise(1)
-    rank = F.struct(
+    return F.struct(
         miss(F.col("expected").isNull() | (F.col("expected") == F.col("category"))).alias("a"), miss((F.size("years") <= 0) | F.col("years").isNull() | F.array_contains("years", F.col("year"))).alias("b"),
         miss(F.col("price").isNotNull()).alias("c"), miss(exact).alias("d"), F.coalesce("popularity", F.lit(1.0)).alias("e"), (-F.coalesce("stock", F.lit(0))).alias("f"), F.col("offer").alias("offer"),
     )
-    return pairs.groupBy("item").agg(F.min(rank).alias("x")).select("item", "x.offer")
+
+
+def variants(pairs: DataFrame, exact: Column) -> DataFrame:
+    """item, offer: the variant by rarity, year, price, ``exact`` name, popularity and stock, in this order."""
+    return pairs.groupBy("item").agg(F.min(_variant_rank(exact)).alias("x")).select("item", "x.offer")
+
+
+def best_variants(items: DataFrame, offers: DataFrame) -> DataFrame:
+    """``variants`` of all pairs of a name without making the pairs; the exact name is the offer that is the item itself.
+
+    Items of one category and years meet the first offer of each kind once; the item's own offer is met by its key.
+    """
+    items, offers = items.hint("merge"), offers.hint("merge")
+    named, own = items.where("name_key is not null"), ["name_key", "category", "years"]
+    order = F.struct(F.coalesce("popularity", F.lit(1.0)), -F.coalesce("stock", F.lit(0)), "offer")
+    first = offers.groupBy("name_key", "expected", "year", F.col("price").isNotNull()).agg(F.min_by(F.struct("price", "popularity", "stock", "offer"), order).alias("x")).select(F.col("name_key").alias("_key"), "expected", "year", "x.*")
+    kinds = named.groupBy(*own).agg(F.lit(1).alias("_")).join(first, F.col("name_key") == F.col("_key"))
+    best = kinds.groupBy(F.struct(*own).alias("_kind")).agg(F.min(_variant_rank(F.lit(False))).alias("x"))
+    met = named.withColumn("_k", F.struct(*own)).join(best, F.col("_k") == F.col("_kind")).select("item", "x")
+    self_ = offers.select(F.col("name_key").alias("_key"), "offer", "expected", "year", "price", "popularity", "stock")
+    exact = named.join(self_, (F.col("item") == F.col("offer")) & (F.col("name_key") == F.col("_key"))).select("item", _variant_rank(F.lit(True)).alias("x"))
+    return met.unionByName(exact).groupBy("item").agg(F.min("x").alias("x")).select("item", "x.offer")
 
 
 # -- stand-ins: items are parts, offers of a name are the parts of the same name, kind and brand ----------------------
@@ -91,11 +151,15 @@ _OFFERS = """(SELECT p_partkey AS offer, concat(p_name, p_type, p_brand) AS name
   CASE WHEN p_partkey % 4 = 1 THEN 2015 + p_partkey % 6 END AS offer_year, CASE p_partkey % 6 WHEN 0 THEN 'pet' WHEN 1 THEN 'gun' WHEN 2 THEN 'knife' END AS kind, CASE WHEN p_size % 5 > 0 THEN p_retailprice END AS price, p_size % 10 / 1e1 AS popularity, CASE WHEN p_size % 3 > 0 THEN p_size * 40 END AS stock, p_partkey % 19 AS picture FROM $part$)"""
 
 
-def _pairs(spark, sf_dir: str) -> DataFrame:
+def _sides(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = table(spark, sf_dir, "part")
     items = spark.sql(spark_text(f"SELECT item, name_key, own AS category, array_compact(array(item_year)) AS years, item_kind AS kind, item_class AS pet_class, CAST(picture AS STRING) AS picture FROM {_ITEMS} i"), part=part)
     offers = spark.sql(spark_text(f"SELECT offer, name_key, expected, rarity, offer_year AS year, kind AS offer_kind, price, popularity, stock, CAST(picture AS STRING) AS offer_picture FROM {_OFFERS} o"), part=part)
-    return fit_pairs(items, offers)
+    return items, offers
+
+
+def _pairs(spark, sf_dir: str) -> DataFrame:
+    return fit_pairs(*_sides(spark, sf_dir))
 
 
 def offer_fit_pairs(spark, sf_dir: str) -> DataFrame:
@@ -110,13 +174,16 @@ def fit_explained(spark, sf_dir: str) -> DataFrame:
 
 def linked_first_query(spark, sf_dir: str) -> DataFrame:
     """The offer of each item: the one that a user linked, else the best that nobody linked and that fits."""
-    pairs = _pairs(spark, sf_dir)
-    return linked_first(pairs, pairs.where((F.col("item") * 7 + F.col("offer")) % 23 == 0).select("item", "offer"))
+    items, offers = _sides(spark, sf_dir)
+    # a user links each pair whose 7 * item + offer is divisible by 23; of an item the largest offer counts
+    last = offers.groupBy(F.col("name_key").alias("_key"), F.pmod("offer", F.lit(23)).alias("_rest")).agg(F.max("offer").alias("offer")).hint("merge")
+    links = items.join(last, (F.col("name_key") == F.col("_key")) & (F.pmod(F.col("item") * -7, F.lit(23)) == F.col("_rest"))).select("item", "offer")
+    return linked_best(items, offers, links)
 
 
 def variant_rank_full(spark, sf_dir: str) -> DataFrame:
     """The variant of an item by rarity, year, price, exact name, popularity and stock, in this order."""
-    return variants(_pairs(spark, sf_dir), F.col("item") == F.col("offer"))
+    return best_variants(*_sides(spark, sf_dir))
 
 
 QUERIES |= {"offer_fit_pairs": offer_fit_pairs, "fit_explained": fit_explained, "linked_first": linked_first_query, "variant_rank_full": variant_rank_full}

@@ -85,3 +85,21 @@ def test_idle_time_without_downtime(spark):
     got = {(r.market, r.product): (r.idle, r.state) for r in history.staleness(polls, seen).collect()}
     night = 36_900 - 1_800  # of the pause half an hour counts
     assert got == {("a", 1): (0, "shown"), ("a", 2): (times[-1] - times[39] - night, "shown"), ("a", 3): (times[-1] - night, "hidden"), (None, 3): (times[-1] - times[30] - night, "hidden"), ("b", 4): (1_800, "shown")}
+
+
+def test_best_of_all_pairs_without_the_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    of = lambda *x: r.choice(x)
+    names, kinds = ("seer", "bat", None), ("pets", "chromas", "godlies", "ancients", "legendaries", "rares", None)
+    item = [(k, of(*names), of(*kinds), of(None, [], [2015], [2016, 2017]), of("gun", "knife", "pet", None), of("rare", "common", None), of("", "p1", "p2", "p3", None)) for k in range(80)]
+    offer = [(k, of(*names), of(*kinds), of("event", "rare", "common", None), of(2015, 2016, None), of("gun", "pet", "knife", None), of(1.5, None), of(0.1, 0.3, 0.7, 1.0, None), of(100, 300, 5000, None), of("", "p1", "p2", "p4", None)) for k in range(160)]
+    items, offers = spark.createDataFrame(item, f"item long, name_key string, {fit.ITEM}").cache(), spark.createDataFrame(offer, f"offer long, name_key string, {fit.OFFER}").cache()
+    pairs = fit.fit_pairs(items, offers).cache()
+    links = pairs.where("(item + offer) % 41 = 0").select("item", "offer")
+    told = lambda df: sorted(map(tuple, df.collect()))
+    assert told(fit.linked_best(items, offers, links)) == told(fit.linked_first(pairs, links))
+    assert told(fit.linked_best(items, offers, links.where("false"))) == told(fit.linked_first(pairs, links.where("false")))
+    assert told(fit.best_variants(items, offers)) == told(fit.variants(pairs, F.col("item") == F.col("offer")))
+    assert told(fit.best_offers(items, offers.where("false"))) == [] and told(fit.best_variants(items.where("false"), offers)) == []
