@@ -89,6 +89,8 @@ SELECT link, card, coalesce(price, max(price) OVER (PARTITION BY name_)) AS pric
 
 #: Words of a name that a line is searched for, at most.
 NAME_WORDS = 5
+#: Names up to this number go to each task; more of them meet the runs by a shuffle.
+HELD_NAMES = 100_000
 CUTOFF = 0.82
 
 
@@ -103,12 +105,15 @@ def scan_lines(lines: DataFrame, names: DataFrame) -> DataFrame:
     """line, place, name, qty: names (column key) found in lines, at each word the longest one, up to NAME_WORDS words.
 
     A quantity token before a name is its quantity. Runs of words meet the names by an equi-join; the choice among
-    overlapping ones is a fold over those of a line.
+    overlapping ones is a fold over those of a line. Lines are dealt to tasks before they become runs, some thirty a line,
+    and are never broadcast, however small their file is.
     """
-    words = lines.select("line", F.split(F.lower(F.trim("text")), " +").alias("w"))
+    known = names.select("key").distinct()
+    known = F.broadcast(known) if known.limit(HELD_NAMES + 1).count() <= HELD_NAMES else known.hint("merge")
+    words = lines.repartition("line").select("line", F.split(F.lower(F.trim("text")), " +").alias("w"))
     runs = words.select("line", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("s")).select("line", "w", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(NAME_WORDS), F.size("w") - F.col("s") + 1))).alias("n"))
     runs = runs.select("line", "s", "n", F.array_join(F.slice("w", F.col("s"), F.col("n")), " ").alias("key"), F.when(F.col("s") > 1, F.element_at("w", F.when(F.col("s") > 1, F.col("s") - 1).otherwise(1))).alias("prev"))
-    hits = runs.join(names.select("key").distinct(), "key")
+    hits = runs.join(known, "key")
     found = hits.groupBy("line").agg(F.sort_array(F.collect_list(F.struct("s", (-F.col("n")).alias("m"), "key", "prev"))).alias("h"))  # bounded by the words of a line
     none = F.filter("h", lambda x: F.lit(False))
     fold = F.aggregate("h", F.struct(F.lit(0).alias("end"), none.alias("got")), lambda a, x: F.when(x["s"] > a["end"], F.struct((x["s"] - x["m"] - 1).alias("end"), F.concat(a["got"], F.array(x)).alias("got"))).otherwise(a))

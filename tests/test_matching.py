@@ -100,3 +100,16 @@ def test_a_shortlist_copies_few_vectors_at_a_time():
         quick = np.round(sum(rows[:, c] * asked[k, c] for c in range(tiles.QUICK)), 9)
         best = sorted((-v, n) for v, n in zip(quick, ids, strict=True) if n != own[k])[: tiles.SHORT]
         assert held.row[held.q == k].tolist() == [n for _, n in best]
+
+
+def test_line_scan_never_broadcasts_lines(spark, monkeypatch):
+    asked = spark.createDataFrame([(1, "x3 Ice Wing and seer"), (2, "none"), (3, None)], "line long, text string")
+    names = spark.range(2_000).select(F.concat(F.lit("name "), "id").alias("key")).union(spark.createDataFrame([("ice wing",), ("seer",)], "key string"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = lines.scan_lines(asked, names)
+    assert "BuildRight" in plan(found) and "BuildLeft" not in plan(found)
+    want = sorted(map(tuple, found.collect()))
+    assert want == [(1, 0, "ice wing", 3), (1, 1, "seer", 1)]
+    monkeypatch.setattr(lines, "HELD_NAMES", 10)
+    found = lines.scan_lines(asked, names)
+    assert "BroadcastHashJoin" not in plan(found) and sorted(map(tuple, found.collect())) == want
