@@ -20,8 +20,8 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def _add(name: str, doc: str, text: str) -> None:
-    register(QUERIES, ORACLES, name, doc, text)
+def _add(name: str, doc: str, text: str, told: str | None = None) -> None:
+    register(QUERIES, ORACLES, name, doc, text, told)
 
 
 _WORDS = "(SELECT user_id AS shot, event_id AS id, event_type AS word, CAST(floor(value * 7) % 400 AS BIGINT) AS x, CAST(floor(value) % 90 AS BIGINT) AS y, 8 + event_id % 13 AS w, 6 + event_id % 5 AS h FROM $events$)"
@@ -64,8 +64,10 @@ SELECT user_id, qty, votes FROM (SELECT user_id, qty, votes, row_number() OVER (
 _add("votes_with_ties", "The name of a place by votes: named ones first, then more votes, the better score, the earlier pass.", """
 SELECT user_id, name_, votes FROM (SELECT user_id, name_, votes, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN name_ IS NULL THEN 1 ELSE 0 END, votes DESC, value DESC, event_id) AS k
   FROM (SELECT user_id, event_id, value, name_, CASE WHEN name_ IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY user_id, name_) END AS votes FROM (SELECT *, CASE WHEN event_type <> 'error' THEN event_type END AS name_ FROM $events$) e) v) r WHERE k = 1""")
-_add("talkative_pass", "The pass with the most text.", """
-SELECT user_id, max_by(event_type, n * 1000 + k) AS pass_ FROM (SELECT user_id, event_type, CAST(sum(length(props)) AS BIGINT) AS n, CAST(min(event_id) % 1000 AS BIGINT) AS k FROM $events$ GROUP BY user_id, event_type) q GROUP BY user_id""")
+_talkative = lambda k, order: f"""
+SELECT user_id, max_by(event_type, {order}) AS pass_ FROM (SELECT user_id, event_type, CAST(sum(length(props)) AS BIGINT) AS n, {k} AS k FROM $events$ GROUP BY user_id, event_type) q GROUP BY user_id"""
+# the remainder repeats after a thousand events: of passes with as much text and one remainder the one that began later
+_add("talkative_pass", "The pass with the most text.", _talkative("CAST(min(event_id) % 1000 AS BIGINT)", "n * 1000 + k"), _talkative("min(event_id)", "CASE WHEN n * 1000 + k IS NOT NULL THEN struct(n * 1000 + k % 1000, k) END"))
 _add("quantities_summed", "Quantities of an item over the lines that name it, the least score, and the number of forms seen.", """
 SELECT l_partkey, CAST(sum(floor(l_quantity)) AS BIGINT) AS qty, min(l_discount) AS score, count(DISTINCT l_returnflag) AS forms FROM $lineitem$ GROUP BY l_partkey""")
 _add("first_in_order", "The first price and the first number of lots of a text, in line order.", """

@@ -16,6 +16,7 @@ def test_ties_have_one_result(spark, tmp_path, turn):
     got = lambda name: dict(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()))
     # card 1: one number for lines 1 and 2; card 2: for lines 3 and 1 that the popup knows, line 2 is unknown; a null number says nothing
     assert got("names_chosen") == {1: "Gem", 2: "Wing", 3: "Saw", 4: None}
+    assert got("talkative_pass") == {1: "view", 2: "click", 3: None}
 
 
 @pytest.mark.parametrize("turn", [1, -1])
