@@ -10,8 +10,10 @@ has been gone for three days.
 from __future__ import annotations
 
 import contextlib
+from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, fields, replace
+from json import loads
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,10 @@ RECORD = "name string, link string, price double, lots int, source string, at lo
 OUT = "market string, key string, product string, status string, name string, link string, price double, lots int, source string, at long, seen long, misses int, seq long, step long"
 _ID, _SLUG = "(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "(?i)/product/([a-z0-9-]+)/"
 
+#: What the fold reads of an observation: texts and numbers, which come to the state's worker as one text.
+TEXTS, NUMBERS = ("product", "source", "name", "link", "slug_name", "name_key"), ("at", "seq", "poll", "lots")
+Seen = namedtuple("Seen", [*NUMBERS, *TEXTS, "price", "missing", "key"])
+
 
 @dataclass
 class Record:
@@ -70,13 +76,13 @@ class Shelf:
         """When the next of them has to be looked at."""
         return min([r.seen + FORGOTTEN + 1 for r in self.records.values()] + [at + GONE for at in self.gone.values()], default=None)
 
-    def _key(self, seen: Row) -> tuple[str, bool]:
+    def _key(self, seen: Seen) -> tuple[str, bool]:
         if seen.product:
             return seen.product, False
         linked = sorted((r.born, k) for k, r in self.records.items() if not k.startswith("name:"))
         return (linked[0][1] if linked else f"name:{seen.key}"), True
 
-    def add(self, seen: Row) -> None:
+    def add(self, seen: Seen) -> None:
         self.forget(seen.at)
         key, by_name = self._key(seen)
         if seen.missing:
@@ -113,7 +119,7 @@ class Shelf:
         for mark in ("priced_in", "listed_in", "whole_in"):
             setattr(record, mark, max(getattr(old, mark), getattr(record, mark), key=lambda x: -1 if x is None else x))
 
-    def _tell(self, record: Record, seen: Row, by_name: bool) -> None:
+    def _tell(self, record: Record, seen: Seen, by_name: bool) -> None:
         price, lots, shown = seen.price, seen.lots, seen.source == BROWSER
         if not shown and record.shown_at is not None and seen.at - record.shown_at < SHOWN:
             price, lots = None, None if record.shown_lots else lots
@@ -136,7 +142,7 @@ class Shelf:
         if shown and (seen.price is not None or seen.lots is not None):
             record.shown_at, record.shown_lots = seen.at, seen.lots is not None
 
-    def _miss(self, key: str, seen: Row) -> None:
+    def _miss(self, key: str, seen: Seen) -> None:
         record = self.records.get(key)
         if record is None or record.listed_in == seen.poll:
             return  # a list of this poll knows better
@@ -191,12 +197,20 @@ class ProductState(StatefulProcessor):
         else:
             self.last.update(tuple(last))
 
+    @staticmethod
+    def _seen(key: str, rows: Iterator[Row]) -> Iterator[Seen]:
+        once: dict = {}  # a text that repeats is held once
+        for row in rows:
+            told = loads(row[3])
+            numbers = [None if x is None else int(x) for x in told[:4]]
+            yield Seen(*numbers, *[once.setdefault(x, x) for x in told[4:10]], None if told[10] is None else float(told[10]), told[11] == "true", key)
+
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         shelf, last = self._load()
         before = Shelf(dict(shelf.records), dict(shelf.gone))
         shelf.records = {k: replace(r) for k, r in shelf.records.items()}
         # the observations of one name in one micro-batch, in order
-        for seen in sorted(rows, key=lambda r: (r.at, r.seq)):
+        for seen in sorted(self._seen(key[1], rows), key=lambda r: r[:2]):
             if last[0] is not None and (seen.at, seen.seq) < (last[0], last[1]):
                 last[2] += 1
                 yield Row(market=key[0], key=key[1], product=seen.product, status="late", name=seen.name, link=seen.link, price=seen.price, lots=seen.lots, source=seen.source, at=seen.at, seen=None, misses=None, seq=seen.seq, step=last[2])
@@ -223,6 +237,8 @@ def keyed(seen: DataFrame) -> DataFrame:
     observations that have neither link nor name are left out.
     """
     link = F.col("link")
+    # what has no key, said of link and name alone: the key's own rules would run twice, before and after this
+    seen = seen.where("at is not null").where((F.length(link) > 0) | F.lower("name").rlike("[a-z0-9]"))
     found = F.lower(F.regexp_extract(link, _ID, 0))
     product = F.when(found != "", found).otherwise(F.when(F.length(link) > 0, F.regexp_replace(F.lower(link), "^https?://[^/]+", "")))
     slug = F.regexp_extract(link, _SLUG, 1)
@@ -230,7 +246,7 @@ def keyed(seen: DataFrame) -> DataFrame:
     own = F.when(F.length(name_key(F.col("name"))) > 0, name_key(F.col("name")))
     rows = seen.withColumns({"product": product, "slug_name": slug_name, "name_key": own, "missing": F.coalesce("missing", F.lit(False))})
     group = F.coalesce(name_key(F.col("slug_name")), F.when(F.col("product").isNotNull(), F.concat(F.lit("link:"), F.col("product"))), F.col("name_key"))
-    return rows.withColumn("key", group).where("key is not null and at is not null").withColumn("seq", F.coalesce("seq", F.lit(0).cast("long")))
+    return rows.withColumn("key", group).withColumn("seq", F.coalesce("seq", F.lit(0).cast("long")))
 
 
 @contextlib.contextmanager
@@ -260,7 +276,9 @@ def follow_products(seen: DataFrame, path: str) -> DataFrame:
     """
     spark = seen.sparkSession
     late = f"{FORGOTTEN} seconds"
-    rows = keyed(seen).withColumn("time", F.timestamp_seconds("at")).withWatermark("time", late)
+    # the state's worker takes each value of a row singly, which costs more than the fold: all of them come as one text
+    told = F.to_json(F.array(*[F.col(c).cast("string") for c in (*NUMBERS, *TEXTS, "price", "missing")]))
+    rows = keyed(seen).select("market", "key", F.timestamp_seconds("at").alias("time"), told.alias("told")).withWatermark("time", late)
     changes = rows.groupBy("market", "key").transformWithState(ProductState(), OUT, "Append", "EventTime")
     with _rocks(spark):
         query = changes.writeStream.format("parquet").option("path", f"{path}/changes").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()

@@ -169,3 +169,13 @@ def test_faults_of_a_state(spark, monkeypatch):
 def test_query_on_the_table(spark):
     got = {r.product: r for r in products.product_state_stream(spark, "/root/testdata/sf0.001").collect()}
     assert len(got) == 15 and not any(k.startswith("name:") for k in got) and all(r.price is None or r.source for r in got.values())
+
+
+def test_keys_are_not_told_twice(spark, capsys):
+    rows = [("a", 0, 1, k, "list", n, li, 1.0, 1, False) for k, (n, li) in enumerate([("Seer", None), (None, "https://m/product/ice-wing/"), ("!!!", None), (None, ""), ("İ", None), ("", "x"), ("C. ", None), (None, None)])]
+    seen = spark.createDataFrame([*rows, ("a", 0, None, 9, "list", "Seer", None, 1.0, 1, False)], SEEN)
+    got = products.keyed(seen)
+    assert {r.seq: r.key for r in got.collect()} == {0: "seer", 1: "icewing", 4: "i", 5: "link:x", 6: "chroma"}
+    got.explain("formatted")
+    filters = [x for x in capsys.readouterr().out.split("\n") if x.startswith("Condition")]
+    assert filters and not any("regexp_" in x for x in filters)
