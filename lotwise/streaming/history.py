@@ -7,7 +7,9 @@ however late, goes to its own output.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from json import dumps, loads
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -25,40 +27,48 @@ KEPT_HOURS, POLLS, ALWAYS = 48, 3, 1_800
 #: A snapshot: ``complete`` says that all of its market was read; ``interval`` is the market's seconds between polls.
 SNAPSHOT = "market string, item string, at_us long, id long, stock long, complete boolean, interval long"
 OUT = "market string, item string, id long, at_us long, stock long, sold long, listed long, sold_kept long, listed_kept long, late boolean"
+OUT_NUMBERS = [c.split()[0] for c in OUT.split(", ") if c.endswith(" long")]
 _HOUR = 3_600_000_000
+#: Rows of an item that go out in one text.
+TOGETHER = 1_000
 
 
 class StockHistory(StatefulProcessor):
-    """Per (market, item): the last snapshot, and a list of (at_us, sold, listed)."""
+    """Per (market, item): the last snapshot with the changes of the hours kept, in one value, as each call costs more than what it carries."""
 
     def __init__(self, fresh: int | None = None):
         self.fresh = fresh  # seconds; null: by the market's interval
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at_us long, id long, stock long, complete boolean, timer long")
-        self.kept = handle.getListState("kept", "at_us long, sold long, listed long")
+        self.last = handle.getValueState("last", "at_us long, id long, stock long, complete boolean, timer long, kept array<struct<at_us: long, sold: long, listed: long>>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        last = list(self.last.get()) if self.last.exists() else None
-        kept = [tuple(x) for x in self.kept.get()] if self.kept.exists() else []
-        before, most = last and last[4], 0
-        for r in sorted(rows, key=lambda r: (r.at_us, r.id)):
-            told = Row(market=key[0], item=key[1], id=r.id, at_us=r.at_us, stock=r.stock, sold=None, listed=None, sold_kept=None, listed_kept=None, late=True)
-            if last and (r.at_us, r.id) < (last[0], last[1]):
-                yield told
+        held = self.last.get()
+        last, before, kept = (held[:4], held[4], deque(tuple(x) for x in held[5])) if held else (None, None, deque())
+        sums, most = [sum(x[k] for x in kept) for k in (1, 2)], 0
+        told = []
+        for at, number, stock, complete, interval in sorted((loads(r[2]) for r in rows), key=lambda r: r[:2]):
+            if len(told) == TOGETHER:
+                yield Row(market=key[0], item=key[1], told=dumps(told))
+                told = []
+            if last and (at, number) < (last[0], last[1]):
+                told.append((number, at, stock, None, None, None, None, 1))
                 continue
-            fresh = self.fresh if self.fresh is not None else max(POLLS * (r.interval or 0), ALWAYS)
+            fresh = self.fresh if self.fresh is not None else max(POLLS * (interval or 0), ALWAYS)
             most = max(most, fresh)
             sold = listed = None
-            if last and last[3] and r.complete and last[2] is not None and r.stock is not None and r.at_us - last[0] <= fresh * 1_000_000:
-                sold, listed = max(last[2] - r.stock, 0), max(r.stock - last[2], 0)
-                kept.append((r.at_us, sold, listed))
-            kept = [x for x in kept if x[0] >= r.at_us - KEPT_HOURS * _HOUR]
+            if last and last[3] and complete and last[2] is not None and stock is not None and at - last[0] <= fresh * 1_000_000:
+                sold, listed = max(last[2] - stock, 0), max(stock - last[2], 0)
+                kept.append((at, sold, listed))
+                sums = [sums[0] + sold, sums[1] + listed]
+            while kept and kept[0][0] < at - KEPT_HOURS * _HOUR:
+                _, gone, came = kept.popleft()
+                sums = [sums[0] - gone, sums[1] - came]
             # a market that was read in part tells the stock of what it read, and nothing about the rest
-            last = [r.at_us, r.id, r.stock, bool(r.complete), before]
-            sums = [sum(x[k] for x in kept) if kept else None for k in (1, 2)]
-            yield Row(**told.asDict() | {"sold": sold, "listed": listed, "sold_kept": sums[0], "listed_kept": sums[1], "late": False})
+            last = (at, number, stock, bool(complete))
+            told.append((number, at, stock, sold, listed, *(sums if kept else (None, None)), 0))
+        yield Row(market=key[0], item=key[1], told=dumps(told))
         if not last:
             return
         # nothing refers to the last snapshot once it is neither fresh nor are its changes kept
@@ -67,16 +77,10 @@ class StockHistory(StatefulProcessor):
             if before is not None:
                 self.handle.deleteTimer(before)
             self.handle.registerTimer(ends)
-        last[4] = ends
-        self.last.update(tuple(last))
-        if kept:
-            self.kept.put(kept)
-        else:
-            self.kept.clear()
+        self.last.update((*last, ends, list(kept)))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.last.clear()
-        self.kept.clear()
         return iter(())
 
     def close(self) -> None:
@@ -97,9 +101,12 @@ def follow_stock(snapshots: DataFrame, path: str, lateness: int = 86_400, fresh:
     """
     spark = snapshots.sparkSession
     rows = snapshots.where("at_us is not null and id is not null").withColumn("time", F.timestamp_micros("at_us")).withWatermark("time", f"{lateness} seconds")
-    # without the watermark's own column no row is dropped as late; the timers still go by the watermark
-    rows = rows.select(*[c.split()[0] for c in SNAPSHOT.split(", ")])
-    told = rows.groupBy("market", "item").transformWithState(StockHistory(fresh), OUT, "Append", "EventTime")
+    # without the watermark's own column no row is dropped as late; the timers still go by the watermark. Rows come and go
+    # as texts of numbers: the state's worker takes each value of a row singly, which costs more than the rule
+    rows = rows.select("market", "item", F.to_json(F.array("at_us", "id", "stock", F.col("complete").cast("long"), "interval")).alias("row"))
+    told = rows.groupBy("market", "item").transformWithState(StockHistory(fresh), "market string, item string, told string", "Append", "EventTime")
+    told = told.select("market", "item", F.explode(F.from_json("told", "array<array<bigint>>")).alias("x"))
+    told = told.select("market", "item", *[F.get("x", F.lit(k)).alias(c) for k, c in enumerate(OUT_NUMBERS)], (F.get("x", F.lit(len(OUT_NUMBERS))) == 1).alias("late"))
     with _rocks(spark):
         query = told.writeStream.format("parquet").option("path", f"{path}/changes").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
         query.awaitTermination()

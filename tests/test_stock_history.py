@@ -1,8 +1,11 @@
 """Sales of the last 48 hours as a stream: against a fold in order, with gaps, partial polls, restarts and late snapshots."""
 
+import json
 import random
 
-from lotwise.streaming.history import SNAPSHOT, follow_stock
+from pyspark.sql import Row
+
+from lotwise.streaming.history import SNAPSHOT, TOGETHER, StockHistory, follow_stock
 
 HOUR = 3_600_000_000
 
@@ -70,3 +73,30 @@ def test_late_snapshots_and_cleared_state(spark, tmp_path):
     assert got[7] == got[8] == got[9] == (None, None, None, None)
     state = spark.read.format("statestore").option("stateVarName", "last").load(f"{tmp_path}/out/state")
     assert {r.item for r in state.select("key.item").collect()} == {"a", "b", "c"}
+
+
+class Calls:
+    """A handle and its state, which count what a processor asks of them."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def __getattr__(self, name):
+        def call(*x):
+            self.calls.append(name)
+            if name == "update":
+                self.value = x[0]
+            return self if name.endswith("State") else self.value if name == "get" else False if name == "exists" else iter(()) if name == "clear" else None
+
+        return call
+
+
+def test_few_calls_of_the_state_and_rows_in_parts():
+    state, one = Calls(), StockHistory()
+    one.init(state)
+    state.calls.clear()
+    rows = [Row(market="m", item="a", row=json.dumps([k * 60_000_000, k, None if k == 7 else k % 5, 1, 300])) for k in range(2 * TOGETHER + 1)]
+    got = [json.loads(r.told) for r in one.handleInputRows(("m", "a"), iter(rows[::-1]), None)]
+    assert state.calls == ["get", "registerTimer", "update"] and [len(x) for x in got] == [TOGETHER, TOGETHER, 1]
+    want = plain([("m", "a", k * 60_000_000, k, None if k == 7 else k % 5, True, 300) for k in range(2 * TOGETHER + 1)])
+    assert [tuple(x) for part in got for x in part] == [(w[2], *w[3:], 0) for w in want]
