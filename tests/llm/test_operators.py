@@ -153,6 +153,18 @@ def test_repeat_removal_of_a_whole_table_against_brute_force(spark):
     assert got == dict(zip([d.doc_id for d in docs], want, strict=True))
 
 
+def test_repeat_removal_leaves_shared_passages_shorter_than_its_strings(spark):
+    """Passages of over 50 words can be shorter than 400 bytes: they stay by the contract's length and go by a shorter one."""
+    items = [x.text for x in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect() if len(x.text.split()) > 50]
+    assert items and all(256 < len(x.encode()) < 400 for x in items)
+    texts = [f"{i} {k} {'<>'[k]}{x}{'{}'[k]} {k} {i}" for i, x in enumerate(items) for k in (0, 1)]
+    whole = repeat_removal.remove_repeats(documents(spark, texts)).collect()
+    assert len(whole) == len(texts) and all(x.n_removed == 0 and not x.has_repeats for x in whole)
+    short = {x.doc_id: x for x in repeat_removal.remove_repeats(documents(spark, texts), length=256, texts=True).collect()}
+    assert [(short[i].n_removed, short[i].n_spans) for i in range(len(texts))] == [(len(items[i // 2].encode()), 1) for i in range(len(texts))]
+    assert [bytes(short[i].kept).decode() for i in range(len(texts))] == [t.replace(items[i // 2], "") for i, t in enumerate(texts)]
+
+
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = registry.QUERIES["op3_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
