@@ -58,10 +58,11 @@ def subwords(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np
     whole, empty = np.ones(n, bool), blank.copy()
     h = x * _MULT[0]
     for k in range(1, max(ORDERS)):
-        whole[: n - k] &= ~ends[k - 1 : n - 1]
-        whole[n - k :] = False
-        empty[: n - k] &= blank[k:]
-        h[: n - k] += (x[k:] + np.uint32(k)) * _MULT[k]
+        m = max(0, n - k)  # a negative end would count from the back
+        whole[:m] &= ~ends[k - 1 : k - 1 + m]
+        whole[m:] = False
+        empty[:m] &= blank[k:]
+        h[:m] += (x[k:] + np.uint32(k)) * _MULT[k]
         if k + 1 in ORDERS:
             yield ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BITS), whole & ~empty
 

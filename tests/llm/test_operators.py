@@ -413,6 +413,18 @@ def test_pipeline_stages_pass_foreign_columns_and_odd_rows(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(texts)
 
 
+def test_pipeline_stages_of_texts_of_few_bytes(spark):
+    import corpus_pipeline
+
+    texts = ["A.", "le", "é", "x", "A.", "zu", "b", "", None]
+    docs = documents(spark, texts, [0, *range(7, 15)]).withColumn("lang", F.lit("de"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).count() <= len(texts), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == len(texts)
+    kept = corpus_pipeline.known_language(spark, docs, SF)
+    assert sorted(r.text for r in kept.collect()) == ["A.", "A.", "le", "zu", "é"]  # a single letter has no subword
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 
