@@ -216,6 +216,23 @@ def test_language_id_edges(spark):
     assert same.columns == docs.columns and {r.score for r in same.collect()} <= {"clash"}
 
 
+def test_language_id_of_texts_of_few_bytes(spark):
+    """Texts shorter than the longest n-gram, in the sample and alone in a chunk: sf0.1 has one of two bytes among 10,000."""
+    import pyarrow as pa
+
+    texts, ids = ["A.", "zu", "é", "x", "le", "und", "et la", "A."], [0, *range(7, 14)]  # none held out
+    docs = documents(spark, texts, ids).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("fr"))
+    model = langid.fit(docs)
+    assert model.langs == ["en", "fr"]
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    best, score, cover = langid.measured(model, pa.array(texts, pa.large_string()))
+    for i, (t, k) in enumerate(zip(texts, ids, strict=True)):
+        alone = langid.measured(model, pa.array([t], pa.large_string()))
+        assert [x[0] for x in alone] == pytest.approx([best[i], score[i], cover[i]])
+        assert best[i] < 0 or (got[k].lang_pred, got[k].score) == (model.langs[best[i]], pytest.approx(score[i]))
+    assert (best < 0).tolist() == [len(t.encode()) < 2 for t in texts]
+
+
 def test_sentencepiece_round_trip(spark):
     texts = [*TEXTS, "▁▁ mixed ▁ spaces  and\ttabs\n", " lead", "中文 und Wörter 🙂", "<unk></s>"]
     enc = sentencepiece_sampling.encode(documents(spark, texts), digest=True).cache()
