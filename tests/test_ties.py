@@ -37,6 +37,7 @@ PLAIN = [(200_000, "Seer", 3), (100_000, "Gem", 3), (7, "Elder", 1)]  # without
 @pytest.mark.parametrize(("name", "lines", "parts", "tied"), [
     ("images_chosen", LINES[:3], PLAIN, 1),
     ("names_chosen", LINES, PARTS, 3),
+    ("talkative_pass", LINES, PARTS, 1),
 ])
 def test_ties_have_one_of_the_results_of_the_sql(spark, tmp_path, name, lines, parts, tied):
     """The SQL differs from itself by the order of the rows, on tied rows alone; the query gives one of its results."""
